@@ -23,6 +23,7 @@ class Settings:
 
     bits: int = 18
     ngram: int = 2
+    shape_ngram: int = 3
     train_rows: int = 12_000
     shards: int = 8
     epochs: int = 3
@@ -49,8 +50,9 @@ def fold(column: str, folds: int):
 
 
 def features(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, weight index) of each n-gram, and the number of n-grams of each text."""
-    owner, h = terms.ngrams(*terms.tokens(texts), s.ngram)
+    """(text, weight index) of each n-gram of words and of word shapes, and the number of n-grams of each text."""
+    text, words, shapes = terms.shaped_tokens(texts)
+    owner, h = (np.concatenate(x) for x in zip(terms.ngrams(text, words, s.ngram), terms.ngrams(text, shapes, s.shape_ngram), strict=True))
     return owner, (h >> np.uint64(64 - s.bits)).astype(np.int64), np.bincount(owner, minlength=len(texts))
 
 

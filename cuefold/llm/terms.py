@@ -28,8 +28,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each run of letters, digits or other signs, in order."""
+def _runs(texts: list[bytes]):
+    """(text, start, end, class) of each run of one class but white space, and a function that hashes bytes from starts to ends."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     kind = _CLASS[buf]
     edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
@@ -39,9 +39,44 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _tables(len(buf) + 1)
     with np.errstate(over="ignore"):
         sums = np.r_[np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], dtype=np.uint64)]
-        hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
-    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-    return owner, hashes
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (sums[b] - sums[a]) * inverse[a]
+
+    return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right"), starts, ends, kind[starts], hashed
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each run of letters, digits or other signs, in order."""
+    return shaped_tokens(texts)[:2]
+
+
+def stems(texts: list[bytes], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each run and of the first bytes of each longer run of letters, for each of `lengths`; a stem and a whole word never share a term on purpose."""
+    owner, starts, ends, kind, hashed = _runs(texts)
+    owners, out = [owner], [mixed(hashed(starts, ends))]
+    for n in lengths:
+        long = (ends - starts > n) & (kind == 1)
+        owners.append(owner[long])
+        out.append(mixed(hashed(starts[long], starts[long] + n) + np.uint64(n)))
+    return np.concatenate(owners), np.concatenate(out)
+
+
+def shaped_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with a hash of each run's shape: capital, capitals or small letters, digits, or the signs themselves; and whether it is the run one or two before over again."""
+    owner, starts, ends, kinds, hashed = _runs(texts)
+    hashes = mixed(hashed(starts, ends))
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    upper = (buf >= 65) & (buf <= 90)
+    kinds = kinds.astype(np.uint64)
+    shape = kinds + np.uint64(4) * upper[starts] + np.uint64(8) * upper[np.minimum(starts + 1, ends - 1)]
+    shape = np.where(kinds == 3, hashes, shape)
+    for n, bit in ((1, 16), (2, 32)):
+        same = np.zeros(len(hashes), bool)
+        same[n:] = (hashes[n:] == hashes[:-n]) & (owner[n:] == owner[:-n])
+        shape = shape ^ (np.uint64(bit) * (same & (kinds < 3)))
+    return owner, hashes, mixed(shape + np.uint64(1))
 
 
 def ngrams(owner: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,9 +20,10 @@ class Settings:
     """train_rows bounds the labelled rows read for training, most_terms the hashed terms that the machine has weights for."""
 
     bits: int = 20
-    train_rows: int = 20_000
-    most_terms: int = 2_048
-    least_docs: int = 3
+    train_rows: int = 12_000
+    most_terms: int = 1_024
+    least_chi: float = 25.0
+    stems: tuple[int, ...] = (4, 5, 6)
     factors: int = 8
     epochs: int = 30
     batch: int = 256
@@ -46,18 +47,19 @@ class Machine:
         return out
 
 
-def distinct_terms(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    owner, h = terms.tokens(texts)
-    both = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | (h >> np.uint64(64 - bits)))
-    return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+def distinct_terms(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of each text's distinct hashed terms: words, and the stems that inflected forms share."""
+    owner, h = terms.stems(texts, s.stems)
+    both = np.unique((owner.astype(np.uint64) << np.uint64(s.bits)) | (h >> np.uint64(64 - s.bits)))
+    return (both >> np.uint64(s.bits)).astype(np.int64), (both & np.uint64((1 << s.bits) - 1)).astype(np.int64)
 
 
-def _terms_of(bits: int):
+def _terms_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists: list[list[int]] = []
             for _, part in terms.slices(batch.column(1).to_pylist(), lower=True):
-                owner, term = distinct_terms(part, bits)
+                owner, term = distinct_terms(part, s)
                 lists += [x.tolist() for x in np.split(term, np.searchsorted(owner, np.arange(1, len(part))))] if len(part) else []
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["key", "label", "terms"])
 
@@ -96,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     Terms of the bounded labelled sample are counted by label, and those that differ most between the labels (chi-square) are kept; only
     the kept terms of the sample's rows, bounded by the settings, reach the driver, which fits the machine.
     """
-    sample = staged(labelled(docs, labels, label, folds, held_out, s.train_rows).mapInArrow(_terms_of(s.bits), "key long, label int, terms array<int>"), "terms")
+    sample = staged(labelled(docs, labels, label, folds, held_out, s.train_rows).mapInArrow(_terms_of(s), "key long, label int, terms array<int>"), "terms")
     total = sample.agg(F.count("*"), F.sum("label")).first()
     n, pos = total[0], total[1] or 0
     if not n:
@@ -105,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     expected = F.col("d") * (pos / n)
     off = F.abs(F.col("p") - expected)
     chi = F.greatest(off - 0.5, F.lit(0.0)) ** 2 * (1 / (expected + 1e-9) + 1 / (F.col("d") - expected + 1e-9))
-    kept = counts.where(F.col("d") >= s.least_docs).select("term", chi.alias("chi")).where("chi > 12").orderBy(F.desc("chi"), "term").limit(s.most_terms)
+    kept = counts.select("term", chi.alias("chi")).where(F.col("chi") >= s.least_chi).orderBy(F.desc("chi"), "term").limit(s.most_terms)
     kept = np.sort(np.array([r[0] for r in kept.collect()], np.int64))
     slots = F.array_intersect("terms", F.lit(kept.tolist()) if len(kept) else F.array().cast("array<int>"))
     rows = sample.select("key", "label", slots.cast("array<int>").alias("t")).orderBy("key", "label", "t").collect()
@@ -127,7 +129,7 @@ def score(docs: DataFrame, machine: Machine | None, s: Settings = Settings()) ->
                 if m is None:
                     out.append(np.full(len(part), 0.5))
                     continue
-                owner, h = terms.tokens(part)
+                owner, h = terms.stems(part, s.stems)
                 slot = place[(h >> np.uint64(64 - s.bits)).astype(np.int64)]
                 own = np.unique(owner[slot >= 0].astype(np.int64) * len(m.terms) + slot[slot >= 0]) if len(m.terms) else np.zeros(0, np.int64)
                 dots = m.dots(own // max(1, len(m.terms)), own % max(1, len(m.terms)), len(part))
@@ -157,7 +159,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s: Sett
 
         m, out = shared.value, []
         for _, part in terms.slices([None if x is None or x != x else x for x in texts], lower=True):
-            owner, h = terms.tokens(part)
+            owner, h = terms.stems(part, s.stems)
             h = (h >> np.uint64(64 - s.bits)).astype(np.int64)
             at = np.searchsorted(m.terms, h)
             hit = (at < len(m.terms)) & (m.terms[np.minimum(at, max(0, len(m.terms) - 1))] == h) if len(m.terms) else np.zeros(len(h), bool)
