@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +21,76 @@ from cuefold.llm.common import drop_staged, new_path, staged
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Words whose ids a worker remembers; it forgets all of them beyond this many.
-REMEMBERED = 500_000
+#: Words, and parts, whose ids a worker remembers; it forgets all of them beyond this many.
+REMEMBERED = 800_000
+#: A space before white space or the end: such texts are not parted at spaces.
+ODD = re.compile(r" (?:\s|$)")
 #: For each control byte the lengths, 1 to 4, of the four numbers it stands for.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 _encoders: dict = {}
+NAMES = ["doc_id", "n_tokens", "crc", "ids", "counts"]
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them, by way of its words: byte-level pairs never merge across words, so each distinct word is encoded once."""
+    """Ids of whole texts as the tokenizer gives them, by way of its words: byte-level pairs never merge across words, so each distinct word is encoded once.
+
+    A word never reaches over a space that stands before another sign, so texts are parted there first, and the ids of each distinct part
+    are kept too. Words go to the tokenizer many at a time with a line feed between them, which is a word of one id of its own.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = regex.compile(public_tokenizers.PATTERN)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        found = self.words.findall(text)
-        new = list(set(found).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, list(set(found))
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u4")
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_words(self, new: list[str]) -> None:
+        blank = [w for w in new if w.isspace()]
+        for word, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(e.ids, self.kind).tobytes()
+        plain = [w for w in new if not w.isspace()]
+        size = self.kind.itemsize
+        runs = [plain[at : at + 512] for at in range(0, len(plain), 512)]
+        for own, e in zip(runs, self.tokenizer.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = [*(np.flatnonzero(ids == self.feed) * size).tolist(), len(ids) * size]
+            data, start = ids.tobytes(), 0
+            for word, end in zip(own, ends, strict=True):
+                self.known[word] = data[start:end]
+                start = end + size
+
+    def _led(self, part: str) -> list[str] | tuple[str, ...]:
+        """The words of a part with its space; for letters alone, or before a comma or full stop, they are plain to see."""
+        if part.isalpha():
+            return (" " + part,)
+        if part[-1:] in (",", ".") and part[:-1].isalpha():
+            return (" " + part[:-1], part[-1])
+        return self.words(" " + part)
+
+    def _join(self, found: list) -> list[bytes]:
+        """The ids of each list of words."""
+        every = set(chain.from_iterable(found))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := list(every.difference(self.known)):
+            self._learn_words(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in found]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [x.split(" ") if not ODD.search(x) else None for x in texts]
+        every = set(chain.from_iterable(x[1:] for x in split if x))
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        if new := list(every.difference(self.parts)):
+            self.parts.update(zip(new, self._join([self._led(x) for x in new]), strict=True))
+        heads = self._join([self.words(x[0] if x else text) for x, text in zip(split, texts, strict=True)])
+        get = self.parts.__getitem__
+        return [np.frombuffer(h + b"".join(map(get, x[1:])) if x else h, self.kind) for h, x in zip(heads, split, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -51,52 +99,78 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data): each number's low-order bytes, as few as it needs, and two bits of length for each, four to a control byte."""
-    n = numbers.astype("<u4")
+def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number's code stands when every list begins a control byte of its own, and the control bytes of each list."""
+    groups = -(-lengths // 4)
+    shift = np.concatenate(([0], np.cumsum(groups * 4 - lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    return np.arange(int(lengths.sum())) + np.repeat(shift, lengths), groups
+
+
+def _parts(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def pack_all(numbers: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control, data) of each list of `lengths` numbers: low-order bytes, as few as each number needs, and two bits of length for each, four to a control byte."""
+    n = np.ascontiguousarray(numbers, "<u4")
     size = 1 + (n > 0xFF).astype(np.uint8) + (n > 0xFFFF) + (n > 0xFFFFFF)
-    codes = np.zeros(-(-len(n) // 4) * 4, np.uint8)
-    codes[: len(n)] = size - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = n.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    place, groups = _padded(lengths)
+    codes = np.zeros(int(groups.sum()) * 4, np.uint8)
+    codes[place] = size - 1
+    control = (codes.reshape(-1, 4) * np.array([1, 4, 16, 64], np.uint8)).sum(axis=1, dtype=np.uint8)
+    data = n.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    stops = np.concatenate(([0], np.cumsum(lengths)))
+    return _parts(control.tobytes(), groups), _parts(data, np.diff(ends[stops]))
+
+
+def unpack_all(controls: list[bytes], data: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all lists, one after the other: lengths come from a table by control byte."""
+    place, _ = _padded(lengths)
+    size = LENGTHS[np.frombuffer(b"".join(controls), np.uint8)].reshape(-1)[place]
+    out = np.zeros((len(size), 4), np.uint8)
+    out[np.arange(4) < size[:, None]] = np.frombuffer(b"".join(data), np.uint8)
+    return out.reshape(-1).view("<u4")
+
+
+def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    control, data = pack_all(numbers, np.array([len(numbers)]))
+    return control[0], data[0]
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The numbers again: lengths come from a table by control byte."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    return unpack_all([control], [data], np.array([n]))
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, total = encoder(path), np.zeros(1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids = [np.append(own.ids(t.as_py() or ""), np.uint32(END_ID)).astype("<u4") for t in batch.column(1)[at : at + 256]]
-                n, crc = [len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids]
-                narrow = [x.astype("<u2").tobytes() if x.max() < 65_536 else x.tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(narrow, pa.binary())], ["doc_id", "n_tokens", "crc", "ids"])
+                texts = [t or "" for t in batch.column(1)[at : at + 256].to_pylist()]
+                ids = [np.append(x, own.kind.type(END_ID)) for x in own.encode(texts)]
+                counts = np.bincount(np.concatenate(ids))
+                total = np.pad(total, (0, max(0, len(counts) - len(total))))
+                total[: len(counts)] += counts
+                n, crc = [len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(n), pa.binary())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], NAMES)
 
     return run
 
 
 def _wide(ids: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.int64)
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
+    """(id, n) sums of the count rows, one of which each encoding task left."""
     for batch in batches:
-        for n, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.bincount(_wide(ids.as_py(), n))
-            if len(own) > len(total):
-                total = np.pad(total, (0, len(own) - len(total)))
-            total[: len(own)] += own
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+        for x in batch.column(0):
+            total = np.frombuffer(x.as_py(), "<i8")
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
 
 def _rank(shared):
@@ -106,10 +180,11 @@ def _rank(shared):
             for at in range(0, batch.num_rows, 256):
                 sub = batch.slice(at, 256)
                 n = sub.column(1).to_pylist()
-                packed = [pack(rank[_wide(x.as_py(), k)]) for x, k in zip(sub.column(2), n, strict=True)]
+                wide = [_wide(x, k) for x, k in zip(sub.column(2).to_pylist(), n, strict=True)]
+                packed = pack_all(rank[np.concatenate(wide)], np.array(n))
                 size = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * size, pa.int32()), pa.array(range(seq, seq + size), pa.int64()), sub.column(0), sub.column(1), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))],
+                    [pa.array([part] * size, pa.int32()), pa.array(range(seq, seq + size), pa.int64()), sub.column(0), sub.column(1), *(pa.array(p, pa.binary()) for p in packed)],
                     ["part", "seq", "doc_id", "n_tokens", "control", "data"],
                 )
                 seq += size
@@ -126,13 +201,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     """
     spark = docs.sparkSession
     source = vocabulary or public_tokenizers.path(VOCABULARY)
-    ids = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(source), "doc_id long, n_tokens long, crc long, ids binary"), "ids")
-    counts = ids.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
+    ids = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(source), "doc_id long, n_tokens long, crc long, ids binary, counts binary"), "ids")
+    counts = ids.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     by_rank = np.array([r["id"] for r in counts], np.int64)
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    ordered = ids.repartitionByRange("doc_id", "n_tokens", "crc").sortWithinPartitions("doc_id", "n_tokens", "crc").select("doc_id", "n_tokens", "ids")
+    ordered = ids.where("ids is not null").repartitionByRange("doc_id", "n_tokens", "crc").sortWithinPartitions("doc_id", "n_tokens", "crc").select("doc_id", "n_tokens", "ids")
     schema = "part int, seq long, doc_id long, n_tokens long, control binary, data binary"
     ordered.mapInArrow(_rank(spark.sparkContext.broadcast(rank)), schema).write.option("compression", "zstd").parquet(f"{path}/tokens")
     drop_staged(ids)
@@ -149,7 +224,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 sub = batch.slice(at, 256)
                 cols = (sub.column(k).to_pylist() for k in (4, 5, 3))
-                ids = [by_rank[unpack(c, d, n)].astype("<u4").tobytes() for c, d, n in zip(*cols, strict=True)]
+                control, data, n = cols
+                n = np.array(n)
+                ids = _parts(by_rank[unpack_all(control, data, n)].astype("<u4").tobytes(), n * 4)
                 yield pa.RecordBatch.from_arrays([*(sub.column(k) for k in range(4)), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "n_tokens", "ids"])
 
     rows = spark.read.parquet(f"{path}/tokens").select("part", "seq", "doc_id", "n_tokens", "control", "data")

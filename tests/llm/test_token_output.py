@@ -16,7 +16,16 @@ LIBRARY.encode_special_tokens = True
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=200) | st.text(" \n\tabé's1!<|endoftext|> ß😀", max_size=60))
 def test_encoder_is_the_library(text):
-    assert T.encoder(public_tokenizers.path(T.VOCABULARY)).ids(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert T.encoder(public_tokenizers.path(T.VOCABULARY)).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    texts = [t for _, t, _ in corpus(60)] + ["  two  spaces ", " \n x", "a\x1cb \x85c", "it's 'll 's"]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in T.Encoder(public_tokenizers.path(T.VOCABULARY)).encode(texts)] == want
+    monkeypatch.setattr(T, "REMEMBERED", 50)
+    own = T.Encoder(public_tokenizers.path(T.VOCABULARY))
+    assert [own.encode([t])[0].tolist() for t in texts] == want
 
 
 @settings(max_examples=200, deadline=None)
