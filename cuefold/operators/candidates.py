@@ -21,7 +21,7 @@ THUMBNAILS = ("maxres", "standard", "high", "medium", "default")
 
 
 def _map(values: dict, cast: str = "double") -> Column:
-    pairs = [F.lit(x) for k, v in values.items() for x in (k, float(v) if cast == "double" else v)]
+    pairs = [F.lit(x) for k, v in values.items() for x in (k, float(v) if cast == "double" else str(v))]
     return F.create_map(*pairs) if pairs else F.expr(f"cast(map() AS map<string,{cast}>)")
 
 
@@ -71,17 +71,20 @@ def language(audio: Column, declared: Column, title: Column, description: Column
 
 def interest(text: Column, topic: Column, s: CandidateSettings) -> Column:
     """struct(interest_score, interest_hits, boring_penalty, boring_hits) of a normalised text."""
-    by_strength = {k: T.phrase_hits(text, v) for k, v in s.interest_phrases.items()}
-    score = reduce(lambda a, b: a + b, [F.size(h) * float(s.interest_phrase_weights[k]) for k, h in by_strength.items()], F.lit(0.0))
-    hits = F.concat(F.array().cast("array<string>"), *by_strength.values())
-    own = reduce(lambda acc, kv: F.when(topic == kv[0], T.phrase_hits(text, kv[1])).otherwise(acc), s.topic_interest_phrases.items(), F.array().cast("array<string>"))
-    more = F.array_except(own, hits)
-    boring = reduce(lambda acc, kv: F.when(topic == kv[0], T.phrase_hits(text, kv[1])).otherwise(acc), s.topic_penalty_phrases.items(), F.array().cast("array<string>"))
-    boring = F.array_sort(F.array_union(T.phrase_hits(text, s.boring_penalty_phrases), boring))
-    return F.struct(
-        F.round(score + F.size(more) * float(s.topic_interest_bonus_per_hit), 3).alias("interest_score"), F.array_sort(F.array_union(hits, more)).alias("interest_hits"),
-        (F.size(boring) * float(s.boring_penalty_per_hit)).alias("boring_penalty"), boring.alias("boring_hits"),
-    )
+    none = F.array().cast("array<string>")
+    by_topic = lambda lists: reduce(lambda acc, kv: F.when(topic == kv[0], T.phrase_hits(text, kv[1])).otherwise(acc), lists.items(), none)
+    found = F.struct(*[T.phrase_hits(text, v).alias(k) for k, v in s.interest_phrases.items()], by_topic(s.topic_interest_phrases).alias("__own"), F.array_sort(F.array_union(T.phrase_hits(text, s.boring_penalty_phrases), by_topic(s.topic_penalty_phrases))).alias("__boring"))
+
+    def scored(f: Column) -> Column:
+        hits = F.concat(none, *[f[k] for k in s.interest_phrases])
+        more = F.array_except(f["__own"], hits)
+        score = reduce(lambda a, b: a + b, [F.size(f[k]) * float(s.interest_phrase_weights[k]) for k in s.interest_phrases], F.lit(0.0))
+        return F.struct(
+            F.round(score + F.size(more) * float(s.topic_interest_bonus_per_hit), 3).alias("interest_score"), F.array_sort(F.array_union(hits, more)).alias("interest_hits"),
+            (F.size(f["__boring"]) * float(s.boring_penalty_per_hit)).alias("boring_penalty"), f["__boring"].alias("boring_hits"),
+        )
+
+    return T.let(found, scored)
 
 
 def relevance(title: Column, description: Column, tags: Column, channel: Column, source_topics: Column, category: Column, s: CandidateSettings) -> Column:
@@ -90,32 +93,36 @@ def relevance(title: Column, description: Column, tags: Column, channel: Column,
     Each keyword counts once, where it is first found: title 6, tags 3, description 2, channel 0.5 (and then it is no hit). Topics come by
     score, then number of hits, then the order of the settings.
     """
-    title, tags, channel = T.normalized(title), T.normalized(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")), T.normalized(channel)
-    description = T.normalized(F.substring(F.coalesce(description, F.lit("")), 1, 1500))
-    rows = []
-    for order, (topic, keywords) in enumerate(s.topic_keywords.items()):
-        place = lambda k: F.when(T.has_phrase(title, k), 6.0).when(T.has_phrase(tags, k), 3.0).when(T.has_phrase(description, k), 2.0).when(T.has_phrase(channel, k), 0.5).otherwise(0.0)
-        marks = F.array(*[F.struct(F.lit(k).alias("k"), place(k).alias("p")) for k in keywords]) if keywords else F.expr("cast(array() AS array<struct<k:string,p:double>>)")
-        score = F.aggregate(marks, F.lit(0.0), lambda acc, m: acc + m["p"])
-        hits = F.transform(F.filter(marks, lambda m: m["p"] > 0.5), lambda m: m["k"])
-        score = score + F.when(F.array_contains(source_topics, topic), 3.0).otherwise(0.0)
-        mapped = [c for c, t in s.category_to_topic.items() if t == topic]
-        score = score + F.when(category.isin(mapped), 2.0).otherwise(0.0)
-        if topic == s.priority_topic:
-            first = T.phrase_hits(title, s.priority_games)
-            score, hits = score + F.when(F.size(first) > 0, 12.0).otherwise(0.0), F.concat(hits, first)
-        rows.append(F.struct((-score).alias("a"), (-F.size(hits)).alias("b"), F.lit(order).alias("c"), F.lit(topic).alias("topic"), score.alias("score"), F.array_sort(F.array_distinct(hits)).alias("hits")))
-    if not rows:
-        return F.struct(F.lit("other").alias("primary_topic"), F.array().cast("array<string>").alias("all_topics"), F.lit(0.0).alias("topic_relevance_score"), F.expr("cast(map() AS map<string,array<string>>)").alias("topic_keyword_hits"))
-    ordered = F.array_sort(F.array(*rows))
-    good = F.filter(ordered, lambda r: r["score"] >= float(s.topic_relevance_min))
-    best, top = F.get(good, F.lit(0)), F.get(ordered, F.lit(0))
-    return F.struct(
-        F.coalesce(best["topic"], F.lit("other")).alias("primary_topic"), F.transform(good, lambda r: r["topic"]).alias("all_topics"),
-        F.round(F.coalesce(F.least(best["score"], F.lit(100.0)), top["score"], F.lit(0.0)), 3).alias("topic_relevance_score"),
-        F.map_from_entries(F.transform(good, lambda r: F.struct(r["topic"], r["hits"]))).alias("topic_keyword_hits"),
+    texts = F.struct(
+        T.normalized(title).alias("title"), T.normalized(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")).alias("tags"),
+        T.normalized(F.substring(F.coalesce(description, F.lit("")), 1, 1500)).alias("description"), T.normalized(channel).alias("channel"),
     )
 
+    def marks(t: Column) -> Column:
+        """For each topic its keywords with the points of the place where each is first found."""
+        place = lambda k: F.when(T.has_phrase(t["title"], k), 6.0).when(T.has_phrase(t["tags"], k), 3.0).when(T.has_phrase(t["description"], k), 2.0).when(T.has_phrase(t["channel"], k), 0.5).otherwise(0.0)
+        own = lambda keywords: F.array(*[F.struct(F.lit(k).alias("k"), place(k).alias("p")) for k in keywords]) if keywords else F.expr("cast(array() AS array<struct<k:string,p:double>>)")
+        return F.array(*[F.struct(F.lit(n).alias("n"), F.lit(topic).alias("topic"), own(keywords).alias("marks"), (T.phrase_hits(t["title"], s.priority_games) if topic == s.priority_topic else F.array().cast("array<string>")).alias("first")) for n, (topic, keywords) in enumerate(s.topic_keywords.items())])
+
+    def ranked(m: Column) -> Column:
+        mapped = F.coalesce(F.try_element_at(_map(s.category_to_topic, "string"), category) == m["topic"], F.lit(False))
+        score = F.aggregate(m["marks"], F.lit(0.0), lambda acc, x: acc + x["p"]) + F.when(F.array_contains(source_topics, m["topic"]), 3.0).otherwise(0.0) + F.when(mapped, 2.0).otherwise(0.0) + F.when(F.size(m["first"]) > 0, 12.0).otherwise(0.0)
+        hits = F.concat(F.transform(F.filter(m["marks"], lambda x: x["p"] > 0.5), lambda x: x["k"]), m["first"])
+        return F.struct((-score).alias("a"), (-F.size(hits)).alias("b"), m["n"].alias("c"), m["topic"].alias("topic"), score.alias("score"), F.array_sort(F.array_distinct(hits)).alias("hits"))
+
+    def chosen(ordered: Column) -> Column:
+        good = F.filter(ordered, lambda r: r["score"] >= float(s.topic_relevance_min))
+        best, top = F.get(good, F.lit(0)), F.get(ordered, F.lit(0))
+        return F.struct(
+            F.coalesce(best["topic"], F.lit("other")).alias("primary_topic"), F.transform(good, lambda r: r["topic"]).alias("all_topics"),
+            F.round(F.coalesce(F.when(best["score"].isNotNull(), F.least(best["score"], F.lit(100.0))), top["score"], F.lit(0.0)), 3).alias("topic_relevance_score"),
+            F.map_from_entries(F.transform(good, lambda r: F.struct(r["topic"], r["hits"]))).alias("topic_keyword_hits"),
+        )
+
+    if not s.topic_keywords:
+        return F.struct(F.lit("other").alias("primary_topic"), F.array().cast("array<string>").alias("all_topics"), F.lit(0.0).alias("topic_relevance_score"), F.expr("cast(map() AS map<string,array<string>>)").alias("topic_keyword_hits"))
+    return T.let(texts, lambda t: T.let(F.array_sort(F.transform(marks(t), ranked)), chosen))
+
 
 def copyright_risk(category: Column, text: Column, license_name: Column, hard_hits: Column, s: CandidateSettings) -> Column:
     risky = category.isin(*s.risky_categories) | (F.size(T.phrase_hits(text, s.risky_phrases)) > 0)

@@ -59,7 +59,7 @@ def cleaning_stats(spark, d):
 
 
 def split_long(spark, d):
-    return captions.split_long(V.cues(spark, d)).select("video_id", "cue_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.regexp_replace("text", " ", "").alias("signs"))
+    return captions.split_long(V.cues(spark, d)).select("video_id", "cue_id", F.round(F.col("start") + 1e-7, 3).alias("start"), F.round(F.col("end") + 1e-7, 3).alias("end"), F.regexp_replace("text", " ", "").alias("signs"))
 
 
 def fix_timeline(spark, d):

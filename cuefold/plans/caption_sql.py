@@ -50,8 +50,8 @@ ORACLE_SQL = {
       i AS (SELECT *, unnest(range(0, k)) AS i FROM k),
       t AS (SELECT *, CASE WHEN k = 1 THEN text WHEN len(words) >= k THEN array_to_string(words[CAST(round_even(i * len(words) / k, 0) AS INTEGER) + 1:CAST(round_even((i + 1) * len(words) / k, 0) AS INTEGER)], '')
         ELSE trim(substr(text, CAST(round_even(i * length(text) / k, 0) AS INTEGER) + 1, CAST(round_even((i + 1) * length(text) / k, 0) - round_even(i * length(text) / k, 0) AS INTEGER))) END AS part FROM i)
-      SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start, "end", cue_id, i) AS INTEGER) AS cue_id, round(CASE WHEN k = 1 THEN start ELSE start + long * i / k END, 3) AS start,
-        round(CASE WHEN k = 1 THEN "end" ELSE start + long * (i + 1) / k END, 3) AS "end", replace(part, ' ', '') AS signs FROM t WHERE k = 1 OR part <> ''""",
+      SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start, "end", cue_id, i) AS INTEGER) AS cue_id, round(1e-7::DOUBLE + CASE WHEN k = 1 THEN start ELSE start + long * i / k END, 3) AS start,
+        round(1e-7::DOUBLE + CASE WHEN k = 1 THEN "end" ELSE start + long * (i + 1) / k END, 3) AS "end", replace(part, ' ', '') AS signs FROM t WHERE k = 1 OR part <> ''""",
     "translation_batches": f"""WITH {CUES}, r AS (SELECT *, row_number() OVER w AS row FROM cues {W1}), b AS (SELECT *, CAST(floor((row - 1) / 3) + 1 AS INTEGER) AS batch FROM r), g AS (SELECT video_id, batch, count(*) AS cues, min(row) AS lo, max(row) AS hi FROM b GROUP BY ALL)
       SELECT g.video_id, g.batch, CAST(cues AS INTEGER) AS cues, coalesce((SELECT list(cue_id ORDER BY row) FROM b WHERE b.video_id = g.video_id AND row BETWEEN lo - 3 AND lo - 1), []) AS before,
         coalesce((SELECT list(cue_id ORDER BY row) FROM b WHERE b.video_id = g.video_id AND row BETWEEN hi + 1 AND hi + 2), []) AS after FROM g""",
