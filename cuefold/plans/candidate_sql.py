@@ -150,4 +150,7 @@ ORACLE_SQL = {
         (cs // 360000) || ':' || lpad(CAST(cs // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(cs % 100 AS VARCHAR), 2, '0') AS ass,
         CASE WHEN s >= 3600 THEN lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock, o_orderkey / 8 AS back,
         (o_orderkey % 100) * 60 + o_custkey % 60 AS seconds, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 0 END AS number FROM o""",
+    "day_windows": """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT day, epoch_us(timezone('America/New_York', CAST(day AS TIMESTAMP))) AS first, epoch_us(timezone('America/New_York', CAST(day + 1 AS TIMESTAMP))) - 1 AS last FROM d""",
+    "probe_facts": """WITH p AS (SELECT page_id AS video_id, page_id % 4 * 90 AS rotation, length(html) AS n FROM pages)
+      SELECT video_id, greatest(n % 500 + 0.5, n % 400)::DOUBLE AS duration, CAST(CASE WHEN rotation IN (90, 270) THEN 1080 ELSE 1920 END AS INTEGER) AS display_width, CAST(CASE WHEN rotation IN (90, 270) THEN 1920 ELSE 1080 END AS INTEGER) AS display_height, round(video_id % 60 * 1000 / 1001, 6) AS rate, CAST(rotation AS INTEGER) AS rotation, 'copy' AS audio FROM p""",
 }

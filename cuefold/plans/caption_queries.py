@@ -63,7 +63,8 @@ def split_long(spark, d):
 
 
 def fix_timeline(spark, d):
-    return captions.fix_timeline(V.rolling_cues(spark, d)).select("video_id", "cue_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    near = lambda c: F.round(F.col(c) + 1e-7, 3).alias(c)
+    return captions.fix_timeline(V.rolling_cues(spark, d)).select("video_id", "cue_id", near("start"), near("end"))
 
 
 def translation_batches(spark, d):
@@ -311,7 +312,8 @@ def srt_inspection(spark, d):
 
 def asr_words(spark, d):
     c = V.cues(spark, d).withColumns({"id": F.col("cue_id"), "words": F.lit(None).cast("array<struct<word:string,start:double,end:double,probability:double>>")})
-    return files.asr_words(c).select("video_id", "cue_id", "n", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    near = lambda x: F.round(F.col(x) + 1e-7, 3).alias(x)
+    return files.asr_words(c).select("video_id", "cue_id", "n", near("start"), near("end"))
 
 
 def text_helpers(spark, d):

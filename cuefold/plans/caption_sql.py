@@ -57,7 +57,7 @@ ORACLE_SQL = {
         coalesce((SELECT list(cue_id ORDER BY row) FROM b WHERE b.video_id = g.video_id AND row BETWEEN hi + 1 AND hi + 2), []) AS after FROM g""",
     "subtitle_sample": r"""WITH w AS (SELECT doc_id AS video_id, regexp_split_to_array(text, '[ \n]+') AS t FROM documents), u AS (SELECT video_id, unnest(t) AS text, unnest(range(0, len(t))) AS n FROM w), s AS (SELECT * FROM u WHERE n < 60),
       r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n) AS r, count(*) OVER (PARTITION BY video_id) AS c FROM s)
-      SELECT video_id, CAST(n AS INTEGER) AS id, round(n * 0.3, 2) AS start, substr(text, 1, 300) AS text FROM r WHERE c <= 30 OR r <= 12 OR r > c - 10 OR (r > c // 2 - 4 AND r <= c // 2 + 4)""",
+      SELECT video_id, CAST(n AS INTEGER) AS id, round(n * 0.3::DOUBLE, 2) AS start, substr(text, 1, 300) AS text FROM r WHERE c <= 30 OR r <= 12 OR r > c - 10 OR (r > c // 2 - 4 AND r <= c // 2 + 4)""",
     "interval_union": f"WITH {INTERVALS}, {UNION_SQL.format(name='u', source='spans')} SELECT video_id, count(*) AS n, round(sum(\"end\" - start), 3) AS seconds FROM u GROUP BY video_id",
     "interval_intersection": f"""WITH {INTERVALS}, {MERGED} SELECT a.video_id, round(sum(least(a."end", b."end") - greatest(a.start, b.start)), 3) AS seconds FROM va a JOIN vb b ON a.video_id = b.video_id AND least(a."end", b."end") > greatest(a.start, b.start) GROUP BY 1""",
     "longest_gap": f"""WITH {INTERVALS}, {MERGED},
@@ -113,4 +113,24 @@ ORACLE_SQL = {
     "text_helpers": f"""SELECT doc_id, CAST(len({WORDS.format("text")}) AS INTEGER) AS words, CAST(length(regexp_replace(text, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')) AS INTEGER) AS cjk,
       round(length(regexp_replace(text, '[^\\s]', '', 'g')) * 0.32 + length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) * 0.56 + (length(text) - length(regexp_replace(text, '[^\\s]', '', 'g')) - length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) * 0.52, 2)::DOUBLE AS width,
       CAST(length(text) AS INTEGER) AS units, CAST(strlen(text) AS INTEGER) AS bytes FROM documents""",
+    "fix_timeline": f"""WITH {ROLLING}, k AS (SELECT *, greatest(0.05, "end" - start) AS long, CAST(greatest(ceil(greatest(0.05, "end" - start) / 7.0), 1) AS INTEGER) AS k, {WORDS.format("text")} AS words FROM rolling),
+      i AS (SELECT *, unnest(range(0, k)) AS i FROM k),
+      t AS (SELECT *, k = 1 OR (len(words) >= k AND CAST(round_even((i + 1) * len(words) / k, 0) AS INTEGER) > CAST(round_even(i * len(words) / k, 0) AS INTEGER))
+        OR (len(words) < k AND trim(substr(text, CAST(round_even(i * length(text) / k, 0) AS INTEGER) + 1, CAST(round_even((i + 1) * length(text) / k, 0) - round_even(i * length(text) / k, 0) AS INTEGER))) <> '') AS kept FROM i),
+      s AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", cue_id, i) AS n, greatest(CASE WHEN k = 1 THEN start ELSE start + long * i / k END, 0.0) AS a, CASE WHEN k = 1 THEN "end" ELSE start + long * (i + 1) / k END AS b FROM t WHERE kept),
+      p AS (SELECT *, max(greatest(b, a + 0.05) - n * 0.05::DOUBLE) OVER (PARTITION BY video_id ORDER BY n) + n * 0.05::DOUBLE AS e FROM s),
+      q AS (SELECT *, greatest(a, coalesce(lag(e) OVER (PARTITION BY video_id ORDER BY n), 0.0)) AS c FROM p),
+      r AS (SELECT *, coalesce(lead(c) OVER (PARTITION BY video_id ORDER BY n), c + 1.0) AS nxt FROM q)
+      SELECT video_id, CAST(n AS INTEGER) AS cue_id, round(c + 1e-7::DOUBLE, 3) AS start, round(1e-7::DOUBLE + CASE WHEN e - c >= 1.0 THEN e ELSE greatest(e, least(c + 1.0, nxt)) END, 3) AS "end" FROM r""",
+    "accepted_reviews": f"""WITH {TRANSLATIONS}, b AS (SELECT coalesce(s.video_id, t.video_id) AS video_id FROM src s FULL JOIN tr t ON s.video_id = t.video_id AND s.id = t.id
+      WHERE s.id IS NULL OR t.id IS NULL OR abs(s.start - t.start) > 0.001 OR abs(s."end" - t."end") > 0.001 OR trim(coalesce(t.translation, '')) = '') SELECT video_id, id FROM tr WHERE video_id NOT IN (SELECT video_id FROM b)""",
+    "strict_srt": "SELECT conv_id AS video_id, count(*) AS blocks, 0::INTEGER AS malformed_blocks, 0::INTEGER AS duplicate_ids, 0::INTEGER AS illegal_control_ids FROM conversations GROUP BY 1",
+    "asr_words": rf"""WITH {CUES}, w AS (SELECT video_id, cue_id, start, greatest("end" - start, 0.01) AS long, {WORDS.format("regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g')")} AS t FROM cues), u AS (SELECT *, unnest(range(0, len(t))) AS n FROM w)
+      SELECT video_id, cue_id, CAST(n AS INTEGER) AS n, round(start + long * n / len(t) + 1e-7::DOUBLE, 3) AS start, round(start + long * (n + 1) / len(t) + 1e-7::DOUBLE, 3) AS "end" FROM u""",
+    "reading_metrics": rf"""WITH {ROLLING}, c AS (SELECT *, length(regexp_replace(text, '[^\x{{3400}}-\x{{9fff}}]', '', 'g')) AS cjk, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin,
+        len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '\s+', '', 'g')) > 26)) AS long, coalesce(trim(text) <> '' AND trim(text) = trim(lag(text) OVER w), FALSE) AS dup, len(regexp_extract_all(text, '，，+|。。+|！！+|？？+')) AS rep FROM rolling {W1}),
+      g AS (SELECT video_id, count(*) AS n, CAST(sum(cjk) AS BIGINT) AS cjk, CAST(sum(latin) AS BIGINT) AS latin, CAST(sum(long) AS BIGINT) AS long, count(*) FILTER ("end" > start AND cjk / ("end" - start) > 12) AS fast, count(*) FILTER (dup) AS dup, CAST(sum(rep) AS BIGINT) AS rep FROM c GROUP BY video_id),
+      m AS (SELECT *, round(cjk / greatest(cjk + latin, 1), 6) AS cr, round(latin / greatest(cjk + latin, 1), 6) AS er FROM g)
+      SELECT video_id, 'zh.clean.srt' AS track, n AS segment_count, cjk AS cjk_character_count, latin AS ascii_letter_count, long AS overlong_line_count, fast AS fast_reading_cue_count, dup AS adjacent_duplicate_count, rep AS repeated_punctuation_count, cr AS cjk_ratio, er AS english_leakage_ratio,
+        round(greatest(0.0, least(120.0, 106.0::DOUBLE - er * 30.0 - least(20.0, long / n * 40.0) - least(20.0, fast / n * 35.0) - least(10.0, dup * 2.5::DOUBLE) - least(10.0, rep * 1.5::DOUBLE))), 3) AS score FROM m""",
 }

@@ -119,7 +119,7 @@ def asr_words(segments: DataFrame) -> DataFrame:
     tokens = T.tokens(T.recognised(F.coalesce("text", F.lit(""))))
     start = F.coalesce("start", F.lit(0.0))
     long = F.greatest(F.coalesce(F.col("end"), start) - start, F.lit(0.01))
-    even = F.transform(tokens, lambda t, i: F.struct(t.alias("text"), (start + long * i / F.size(tokens)).alias("start"), (start + long * (i + 1) / F.size(tokens)).alias("end"), F.lit(None).cast("double").alias("probability"), F.lit(True).alias("timestamps_approximated")))
+    even = T.let(tokens, lambda own: F.transform(own, lambda t, i: F.struct(t.alias("text"), (start + long * i / F.size(own)).alias("start"), (start + long * (i + 1) / F.size(own)).alias("end"), F.lit(None).cast("double").alias("probability"), F.lit(True).alias("timestamps_approximated"))))
     return segments.select("video_id", F.col("id").alias("cue_id"), F.posexplode(F.when(some, given).otherwise(even)).alias("n", "w")).select("video_id", "cue_id", "n", "w.*")
 
 
@@ -127,7 +127,7 @@ def srt_words(cues: DataFrame) -> DataFrame:
     """Cues with `words`: the text's words sharing its time evenly."""
     tokens = T.tokens(F.col("text"))
     long = F.greatest(F.lit(0.01), F.col("end") - F.col("start"))
-    at = lambda i: F.col("start") + long * i / F.size(tokens)
-    return cues.withColumn("words", F.transform(tokens, lambda t, i: F.struct(t.alias("text"), at(i).alias("start"), at(i + 1).alias("end"), F.col("start").alias("first_seen_at"))))
+    at = lambda own, i: F.col("start") + long * i / F.size(own)
+    return cues.withColumn("words", T.let(tokens, lambda own: F.transform(own, lambda t, i: F.struct(t.alias("text"), at(own, i).alias("start"), at(own, i + 1).alias("end"), F.col("start").alias("first_seen_at")))))
 
 
