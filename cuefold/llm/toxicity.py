@@ -22,7 +22,7 @@ class Settings:
     bits: int = 20
     train_rows: int = 12_000
     most_terms: int = 1_024
-    least_chi: float = 25.0
+    least_chi: float = 12.0
     stems: tuple[int, ...] = (4, 5, 6)
     factors: int = 8
     epochs: int = 30
