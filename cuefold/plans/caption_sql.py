@@ -1,4 +1,4 @@
-"""DuckDB SQL of the caption queries. Queries that need text ratios, ordered folds or look-behind have none; they are tested against plain Python."""
+"""DuckDB SQL of the caption queries. Queries that need text ratios, ordered folds or look-behind have none."""
 
 from __future__ import annotations
 
