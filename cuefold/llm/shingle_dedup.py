@@ -1,0 +1,177 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, exact sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cuefold.llm.common import OWN, drop_staged, staged
+from cuefold.llm.components import components
+
+#: A pair of similarity s shares none of the bands with probability (1 - s ** ROWS) ** BANDS: 2.7e-5 at 0.8, 2e-10 at 0.9.
+BANDS, ROWS = 20, 4
+#: A sketch is one bit of each of 64 least hashes. Pairs of similarity 0.8 differ in more than FAR bits with probability below 1e-8.
+FAR = 24
+_random = np.random.default_rng(42)
+_A = _random.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _random.integers(0, 2**63, BANDS * ROWS, np.uint64)
+_MIX = _random.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of a text's runs of `words` words, ascending; one of all words for a shorter text, none without words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space only
+    if not tokens:
+        return np.empty(0, np.uint64)
+    joined, width = b" ".join(tokens), min(words, len(tokens))
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n, digest = len(tokens) - width + 1, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def signature(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """(a hash of each band, the sketch) of a set that is not empty."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(own), 512):  # blocks that stay in the cache
+            np.minimum(least, (own[at : at + 512, None] * _A + _B).min(axis=0), out=least)
+        mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        bands = (mixed.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+    return bands ^ (bands >> np.uint64(31)), int(np.packbits((mixed[:64] & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def _described(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py(), words) for x in batch.column(1)]
+            signs = [signature(x) if len(x) else (np.empty(0, np.uint64), 0) for x in sets]
+            code = [int(np.array(xxhash.xxh64_intdigest(x.tobytes(), words), np.uint64).view(np.int64)) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(code, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([b.view(np.int64).tolist() for b, _ in signs], pa.list_(pa.int64())), pa.array([s for _, s in signs], pa.int64()), batch.column(1)],
+                ["doc_id", "code", "n", "bands", "sketch", "text"],
+            )
+
+    return run
+
+
+def _candidates(least: float, stars: bool):
+    """(u, v) within each run of equal keys: to the first of the run alone (`stars`), or all pairs that no component joins yet."""
+
+    def pairs(code, n, sketch, root):
+        for i in range(1 if stars else len(code)):
+            if root[i] == root[-1] and (root[i:] == root[i]).all():
+                continue
+            near = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]) <= FAR
+            near &= np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9
+            near &= root[i + 1 :] != root[i]
+            if near.any():
+                yield np.full(near.sum(), code[i]), code[i + 1 :][near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            rest = [x[cut:] for x in cols]
+            yield from found([x[:cut] for x in cols])
+        if rest is not None:
+            yield from found(rest)
+
+    def found(cols) -> Iterator[pa.RecordBatch]:
+        key, own = cols[0], cols[1:]
+        if not len(key):
+            return
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        stops = np.r_[first[1:], len(key)]
+        out, size = [], 0
+        for a, b in zip(first[stops - first > 1].tolist(), stops[stops - first > 1].tolist(), strict=True):
+            for u, v in pairs(*[x[a:b] for x in own]):
+                out.append((u, v))
+                size += len(u)
+                if size > 50_000:
+                    yield batch_of(out)
+                    out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out) -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return run
+
+
+def _alike(words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last[0] != u:
+                    last = (u, shingles(a.as_py(), words))
+                one, two = last[1], shingles(b.as_py(), words)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= least * (len(one) + len(two) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose sets reach the similarity."""
+    one, two = (texts.select(F.col("code").alias(c), F.col("text").alias(f"t{c}")) for c in ("u", "v"))
+    return pairs.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(_alike(words, least), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, code, component_id) for each row of `docs` (doc_id, text).
+
+    Documents whose sets of `words`-word shingles have a Jaccard similarity of `least` or more are linked; component_id is the smallest
+    doc_id that links reach. Equal sets are one class, which `code`, a hash of the set, names; texts without words are one class. Candidate
+    pairs share a band of MinHash values; each link is verified on the whole sets. First all of a bucket are compared with its first
+    member, so that a large group of near copies is joined by a star, and then the pairs that no component joins yet. Row by row, nulls
+    and repeated rows are as in `simhash.near_duplicates`.
+    """
+    rows = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_described(words), "doc_id long, code long, n long, bands array<long>, sketch long, text string"), "shingles")
+    classes = staged(rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    keys = classes.select("code", "n", "sketch", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "code", "n", "sketch")
+    dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "code")
+    stars = staged(dealt(keys.withColumn("root", F.col("code"))).select("key", "code", "n", "sketch", "root").mapInArrow(_candidates(least, True), "u long, v long").distinct(), "stars")
+    held = staged(_texts(rows, stars), "held")
+    links = staged(_verified(stars, held, words, least), "links")
+    roots = components(links)
+    # buckets with a star that failed, or was not tried, are compared in full; a bucket that is one component yields nothing
+    rooted = keys.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    others = staged(dealt(rooted).select("key", "code", "n", "sketch", "root").mapInArrow(_candidates(least, False), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti"), "others")
+    if others.limit(1).count():
+        links = links.unionByName(_verified(others, _texts(rows, others), words, least))
+        roots = components(links)
+    for own in (stars, held, others):
+        drop_staged(own)
+    member = classes.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "code").join(member.join(ids, "root").select("code", "component_id"), "code").select("doc_id", "code", "component_id")
+
+
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(code, text): one text of each class that `pairs` name."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("code")).distinct()
+    return rows.select("code", "text").join(wanted, "code", "left_semi").dropDuplicates(["code"])
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """`docs` with one document of each near-duplicate component: that with the smallest doc_id, all its columns kept.
+
+    Rows that share a doc_id count as one document and stay if any of them is that of its component. Rows with a null doc_id stay.
+    """
+    found = near_duplicates(docs, words, least).where("doc_id is not null")
+    gone = found.groupBy(F.col("doc_id").alias(f"{OWN}id")).agg(F.min(F.col("doc_id") != F.col("component_id")).alias(f"{OWN}gone")).where(f"{OWN}gone")
+    return docs.join(gone, docs["doc_id"] == gone[f"{OWN}id"], "left_anti")
