@@ -34,6 +34,7 @@ NAMES = ["doc_id", "n_tokens", "crc", "ids", "counts"]
 class Encoder:
     """Ids of whole texts as the tokenizer gives them, by way of its words: byte-level pairs never merge across words, so each distinct word is encoded once.
 
+    Added tokens, such as <|endoftext|>, get their own ids wherever they stand in a text, which is parted at them before all else.
     A word never reaches over a space that stands before another sign, so texts are parted there first, and the ids of each distinct part
     are kept too. Words go to the tokenizer many at a time with a line feed between them, which is a word of one id of its own.
     """
@@ -41,7 +42,10 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: added tokens that depend on their neighbours are not supported")
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
@@ -82,6 +86,21 @@ class Encoder:
         return [b"".join(map(get, x)) for x in found]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = {i: self.at_added(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if not pieces:
+            return self._plain(texts)
+        # parts and added tokens take turns, parts first
+        flat = iter(self._plain([p for i, t in enumerate(texts) for p in (pieces[i][::2] if i in pieces else (t,))]))
+        out = []
+        for i in range(len(texts)):
+            own = [next(flat)]
+            for token in pieces.get(i, ())[1::2]:
+                own += [np.array([self.added[token]], self.kind), next(flat)]
+            out.append(np.concatenate(own) if len(own) > 1 else own[0])
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without added tokens."""
         split = [x.split(" ") if not ODD.search(x) else None for x in texts]
         every = set(chain.from_iterable(x[1:] for x in split if x))
         if len(self.parts) > REMEMBERED:
