@@ -16,7 +16,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}+(?![A-Za-z0-9+/_=-])"
+LEAST = 16
+#: Words and identifiers, with at most one short number in them: random strings of base62 rarely look so.
+WORD = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_]{4})[A-Za-z_]{2,}+(?:[0-9]{1,4}+[A-Za-z_]*+)?+(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "markov")
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
@@ -44,15 +46,14 @@ def _only_if(condition: Column, found: Column) -> Column:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, assign, access, hex, others): the base matches of each row's whole text, and the long mixed strings that the models judge."""
+    """(doc_id, assign, access, hex, others): the base matches of each row's whole text, and the runs of 16 or more signs, which the models judge."""
     text = text_or_empty()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     t = F.col("text")
     assign = F.filter(_only_if((F.instr(t, "=") > 0) | (F.instr(t, ":") > 0), _only_if(t.rlike(ASSIGN_HEAD), spans(t, ASSIGN, 2))), lambda s: F.length(s["value"]) >= 12)
     access = F.filter(_only_if(F.instr(t, "AKIA") > 0, spans(t, ACCESS)), lambda s: F.length(s["value"]) >= 18)
     hexes = _only_if(t.rlike(HEX), spans(t, HEX))
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    others = F.filter(_only_if(t.rlike(CANDIDATE), spans(t, CANDIDATE)), mixed)
+    others = _only_if(t.rlike(CANDIDATE), spans(t, CANDIDATE))
     return base.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), others.alias("others"))
 
 
@@ -73,8 +74,8 @@ def _pairs(value: Column) -> Column:
 def train(docs: DataFrame, found: DataFrame, samples: int = 20_000, sample_docs: int = 2_000) -> list[float]:
     """For each pair of signs the log-likelihood ratio of random strings to ordinary identifiers, with one added to each count.
 
-    Labelled samples: at most `samples` secret values of the base matches, those of least hash, are random; the words of letters and
-    underscores in at most `sample_docs` documents of least hash of doc_id are ordinary. The table has a fixed size, whatever the input.
+    Labelled samples: at most `samples` secret values of the base matches, those of least hash, are random; the words and identifiers (WORD)
+    in at most `sample_docs` documents of least hash of doc_id are ordinary. The table has a fixed size, whatever the input.
     """
     n = len(SIGNS) + 1
     values = found.select(F.explode(F.concat(*[F.transform(k, lambda s: s["value"]) for k in KINDS[:3]])).alias("value"))
@@ -98,22 +99,37 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.element_at(weights, p + 1)) / F.greatest(F.size(pairs), F.lit(1))
 
 
+def _free(run: Column, base: Column) -> Column:
+    """The parts of a run, of 16 or more signs each, that no base match covers."""
+    zero = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def part(start: Column, stop: Column) -> Column:
+        value = F.substring(run["value"], start - run["start"] + 1, stop - start)
+        return F.when(stop - start >= LEAST, F.array(F.struct(start.alias("start"), stop.alias("stop"), value.alias("value")))).otherwise(F.array().cast(SPAN))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+
+    hit = F.filter(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+    return F.aggregate(F.array_sort(hit), zero, step, lambda acc: F.concat(acc["out"], part(acc["at"], run["stop"])))
+
+
 def _placed(found: Column, kind: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("k"), s["stop"].alias("stop")))
 
 
-def secrets(docs: DataFrame, threshold: float = 1.0, samples: int = 20_000, sample_docs: int = 2_000) -> DataFrame:
+def secrets(docs: DataFrame, threshold: float = 0.5, samples: int = 20_000, sample_docs: int = 2_000) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row of `docs` (doc_id, text).
 
-    The base matches are those of the three patterns. A string of 16 or more signs with digits and letters that overlaps no base match and
-    whose mean log-likelihood ratio exceeds `threshold` is a further span of kind `markov`; base ones stay. A null or empty text has none.
+    The base matches are those of the three patterns. A string of 16 or more signs, or a part of one outside the base matches of that
+    length, whose mean log-likelihood ratio exceeds `threshold` is a further span of kind `markov`; base ones stay. A null or empty text has none.
     Repeated rows give repeated rows; an empty table gives none.
     """
     found = staged(findings(docs), "findings")
     model = train(docs, found, samples, sample_docs)
     base = F.concat(*[_placed(F.col(k), n) for n, k in enumerate(KINDS[:3])])
-    free = lambda o: ~F.exists("base", lambda s: (s["start"] < o["stop"]) & (o["start"] < s["stop"]))
-    more = F.filter("others", lambda o: free(o) & (ratio(o["value"], model) > threshold))
+    parts = F.flatten(F.transform("others", lambda o: _free(o, F.col("base"))))
+    more = F.filter(parts, lambda o: ratio(o["value"], model) > threshold)
     more = _placed(more, 3)
     names = F.array(*[F.lit(k) for k in KINDS])
     told = lambda a: F.array_join(F.transform(F.array_sort(a), lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"], s["stop"])), ",")
