@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,95 +22,144 @@ from cuefold.llm.common import drop_staged, new_path, staged
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Words, and parts, whose ids a worker remembers; it forgets all of them beyond this many.
-REMEMBERED = 800_000
-#: A space before white space or the end: such texts are not parted at spaces.
-ODD = re.compile(r" (?:\s|$)")
+#: Parts of texts whose ids a worker remembers: the latest, and as many before them.
+REMEMBERED = 600_000
+#: Bytes of text that are worked on at once; a longer text is alone.
+BLOCK = 8_000_000
+#: Parts to one call of the tokenizer, with a line feed between them.
+RUN = 512
+#: A space before white space, a line feed or the end, or a line feed after other white space: such texts are not parted.
+ODD = " (?:[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]|\\z)|[\\t\\f\\r\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]\n|\n(?:[\\t\\f\\r\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]|\\z)"
+#: Letters that every version of Unicode calls so, and ASCII punctuation, which is a word of its own after them.
+STOPPED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]+)").fullmatch
+#: White space, inside a part.
+SPACE = re.compile(r"\s").search
+BETWEEN = re.compile(r"(?<=\S) (?=\S)").search
+#: Characters of a text that go to the tokenizer at once.
+STRETCH = 1_000_000
 #: For each control byte the lengths, 1 to 4, of the four numbers it stands for.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 _encoders: dict = {}
 NAMES = ["doc_id", "n_tokens", "crc", "ids", "counts"]
 
 
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in `data`; `ends` begins with 0."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, data) of a binary column without nulls: what `_binary` makes one from."""
+    wide = column.cast(pa.large_binary())
+    ends = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8) if len(wide) else np.zeros(1, np.int64)
+    data = np.frombuffer(wide.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return ends - ends[0], data
+
+
+def _blocks(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of about `size` bytes of one column; a longer value is alone."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(total // size)) + 1).tolist(), batch.num_rows]
+    for first, stop in zip(cuts, cuts[1:], strict=False):
+        if stop > first:
+            yield batch.slice(first, stop - first)
+
+
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them, by way of its words: byte-level pairs never merge across words, so each distinct word is encoded once.
+    """Ids of whole texts as the tokenizer gives them. A byte-level tokenizer never joins signs across a space that stands before a sign other
+    than white space, nor a word and the line feeds after it, so texts are parted at both, and each distinct part goes to the tokenizer once.
 
-    Added tokens, such as <|endoftext|>, get their own ids wherever they stand in a text, which is parted at them before all else.
-    A word never reaches over a space that stands before another sign, so texts are parted there first, and the ids of each distinct part
-    are kept too. Words go to the tokenizer many at a time with a line feed between them, which is a word of one id of its own.
+    Texts with other spaces, or with added tokens such as <|endoftext|>, go to the tokenizer as they are, and so do all texts if it is
+    of another kind. A text without any space is one part, and needs memory by its length.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError(f"{path}: added tokens that depend on their neighbours are not supported")
-        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        told = json.loads(self.tokenizer.to_str())
+        before, added = told["pre_tokenizer"] or {}, told["added_tokens"]
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told["normalizer"]
+        apart = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or SPACE(t["content"]) for t in added)
+        self.feed = self._each(["\n"])[0]
+        self.parted = byte_level and apart and len(self.feed) == self.kind.itemsize
+        self.odd = "|".join([ODD, *(re.escape(t["content"]) for t in added)])
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn_words(self, new: list[str]) -> None:
-        blank = [w for w in new if w.isspace()]
-        for word, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, self.kind).tobytes()
-        plain = [w for w in new if not w.isspace()]
-        size = self.kind.itemsize
-        runs = [plain[at : at + 512] for at in range(0, len(plain), 512)]
-        for own, e in zip(runs, self.tokenizer.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False), strict=True):
+        self.before: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of any text; a very long one goes to the tokenizer in stretches, cut where a space stands between other signs."""
+        cuts = [0]
+        for at in range(STRETCH, len(text) if self.parted else 0, STRETCH):
+            if (found := BETWEEN(text, at)) and found.start() > cuts[-1]:
+                cuts.append(found.start())
+        return b"".join(self._each([text[a:b]])[0] for a, b in pairwise([*cuts, len(text)]))
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of parts with the space before them. Those with signs behind letters follow from both; those with white space inside go alone."""
+        stopped, rest, known, before = [], {}, self.known, self.before
+        for p in new:
+            if p in before:
+                known[p] = before[p]
+            elif found := STOPPED(p):
+                stopped.append((p, *found.groups()))
+            else:
+                rest[p] = None
+        for _, base, _ in stopped:
+            if base in before:
+                known[base] = before[base]
+            elif base not in known:
+                rest[base] = None
+        spaced = [p for p in rest if SPACE(p)]
+        known.update(zip(spaced, self._each([p if p[0] == "\n" else " " + p for p in spaced]), strict=True))
+        plain = [p for p in rest if not SPACE(p)] if spaced else list(rest)
+        runs = [plain[at : at + RUN] for at in range(0, len(plain), RUN)]
+        feed, size = np.frombuffer(self.feed, self.kind)[0], self.kind.itemsize
+        for own, e in zip(runs, self.tokenizer.encode_batch_fast([" " + "\n ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
-            ends = [*(np.flatnonzero(ids == self.feed) * size).tolist(), len(ids) * size]
+            ends = [*(np.flatnonzero(ids == feed) * size).tolist(), len(ids) * size]
             data, start = ids.tobytes(), 0
-            for word, end in zip(own, ends, strict=True):
-                self.known[word] = data[start:end]
+            for part, end in zip(own, ends, strict=True):
+                known[part] = data[start:end]
                 start = end + size
+        signs = list({x for _, _, x in stopped})
+        ids_of = dict(zip(signs, self._each(signs), strict=True))
+        known.update((p, known[base] + ids_of[x]) for p, base, x in stopped)
 
-    def _led(self, part: str) -> list[str] | tuple[str, ...]:
-        """The words of a part with its space; for letters alone, or before a comma or full stop, they are plain to see."""
-        if part.isalpha():
-            return (" " + part,)
-        if part[-1:] in (",", ".") and part[:-1].isalpha():
-            return (" " + part[:-1], part[-1])
-        return self.words(" " + part)
-
-    def _join(self, found: list) -> list[bytes]:
-        """The ids of each list of words."""
-        every = set(chain.from_iterable(found))
+    def _led(self, parts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := list(every.difference(self.known)):
-            self._learn_words(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in found]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = {i: self.at_added(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        if not pieces:
-            return self._plain(texts)
-        # parts and added tokens take turns, parts first
-        flat = iter(self._plain([p for i, t in enumerate(texts) for p in (pieces[i][::2] if i in pieces else (t,))]))
-        out = []
-        for i in range(len(texts)):
-            own = [next(flat)]
-            for token in pieces.get(i, ())[1::2]:
-                own += [np.array([self.added[token]], self.kind), next(flat)]
-            out.append(np.concatenate(own) if len(own) > 1 else own[0])
+            self.known, self.before = {}, self.known
+        get = self.known.get
+        out = list(map(get, parts))
+        if new := [p for p, x in zip(parts, out, strict=True) if x is None]:
+            self._learn(new)
+            out = list(map(get, parts))
         return out
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of texts without added tokens."""
-        split = [x.split(" ") if not ODD.search(x) else None for x in texts]
-        every = set(chain.from_iterable(x[1:] for x in split if x))
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        if new := list(every.difference(self.parts)):
-            self.parts.update(zip(new, self._join([self._led(x) for x in new]), strict=True))
-        heads = self._join([self.words(x[0] if x else text) for x, text in zip(split, texts, strict=True)])
-        get = self.parts.__getitem__
-        return [np.frombuffer(h + b"".join(map(get, x[1:])) if x else h, self.kind) for h, x in zip(heads, split, strict=True)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and the last one's end)."""
+        texts = texts.fill_null("")
+        n = len(texts)
+        whole = pc.match_substring_regex(texts, self.odd) if self.parted else pa.array(np.ones(n, bool))
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.if_else(whole, "", texts), "(\n+)", r" \1"), " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        parts = lists.values.dictionary_encode()
+        at = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = self._each(lists.values.take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist())  # what stands before a text's first space
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            heads[i] = self._whole(texts[i].as_py())
+        at[starts[:-1]] = len(names) + np.arange(n)
+        used = np.zeros(len(names) + n, bool)
+        used[at] = True
+        place = np.cumsum(used) - 1
+        led = self._led([p for p, x in zip(names, used.tolist(), strict=False) if x])
+        taken = pa.array(led + heads, pa.large_binary()).take(pa.array(place[at]))
+        ends, data = _values(taken)
+        return data.view(self.kind), ends[starts] // self.kind.itemsize
 
 
 def encoder(path: str) -> Encoder:
@@ -125,12 +175,11 @@ def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(lengths.sum())) + np.repeat(shift, lengths), groups
 
 
-def _parts(data: bytes, sizes: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(sizes).tolist()
-    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
-def pack_all(numbers: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def pack_all(numbers: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(control, data) of each list of `lengths` numbers: low-order bytes, as few as each number needs, and two bits of length for each, four to a control byte."""
     n = np.ascontiguousarray(numbers, "<u4")
     size = 1 + (n > 0xFF).astype(np.uint8) + (n > 0xFFFF) + (n > 0xFFFFFF)
@@ -138,51 +187,48 @@ def pack_all(numbers: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], lis
     codes = np.zeros(int(groups.sum()) * 4, np.uint8)
     codes[place] = size - 1
     control = (codes.reshape(-1, 4) * np.array([1, 4, 16, 64], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = n.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
-    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-    stops = np.concatenate(([0], np.cumsum(lengths)))
-    return _parts(control.tobytes(), groups), _parts(data, np.diff(ends[stops]))
+    data = n.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < size[:, None]]
+    return _binary(_ends(groups), control), _binary(_ends(size)[_ends(lengths)], data)
 
 
-def unpack_all(controls: list[bytes], data: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def unpack_all(control: pa.Array, data: pa.Array, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all lists, one after the other: lengths come from a table by control byte."""
     place, _ = _padded(lengths)
-    size = LENGTHS[np.frombuffer(b"".join(controls), np.uint8)].reshape(-1)[place]
+    size = LENGTHS[_values(control)[1]].reshape(-1)[place]
     out = np.zeros((len(size), 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(b"".join(data), np.uint8)
+    out[np.arange(4, dtype=np.uint8) < size[:, None]] = _values(data)[1]
     return out.reshape(-1).view("<u4")
 
 
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     control, data = pack_all(numbers, np.array([len(numbers)]))
-    return control[0], data[0]
+    return control[0].as_py(), data[0].as_py()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    return unpack_all([control], [data], np.array([n]))
+    return unpack_all(pa.array([control]), pa.array([data]), np.array([n]))
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = encoder(path), np.zeros(1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1)[at : at + 256].to_pylist()]
-                ids = [np.append(x, own.kind.type(END_ID)) for x in own.encode(texts)]
-                counts = np.bincount(np.concatenate(ids))
+            for sub in _blocks(batch, 1, BLOCK):
+                plain, starts = own.encode(sub.column(1))
+                ids = np.insert(plain, starts[1:], END_ID)
+                ends = starts + np.arange(len(starts))
+                counts = np.bincount(ids)
                 total = np.pad(total, (0, max(0, len(counts) - len(total))))
                 total[: len(counts)] += counts
-                n, crc = [len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(n), pa.binary())], NAMES)
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(wide[a:b]) for a, b in pairwise((ends * 4).tolist())]
+                n = sub.num_rows
+                yield pa.RecordBatch.from_arrays([sub.column(0), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), _binary(ends * ids.itemsize, ids).cast(pa.binary()), pa.nulls(n, pa.binary())], NAMES)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], NAMES)
 
     return run
 
 
-def _wide(ids: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n) sums of the count rows, one of which each encoding task left."""
     for batch in batches:
@@ -196,14 +242,12 @@ def _rank(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, part, seq = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sub = batch.slice(at, 256)
-                n = sub.column(1).to_pylist()
-                wide = [_wide(x, k) for x, k in zip(sub.column(2).to_pylist(), n, strict=True)]
-                packed = pack_all(rank[np.concatenate(wide)], np.array(n))
-                size = len(n)
+            for sub in _blocks(batch, 2, BLOCK // 2):
+                n = sub.column(1).to_numpy()
+                size, (_, data) = sub.num_rows, _values(sub.column(2))
+                packed = pack_all(rank[data.view("<u2" if len(data) == 2 * n.sum() else "<u4")], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * size, pa.int32()), pa.array(range(seq, seq + size), pa.int64()), sub.column(0), sub.column(1), *(pa.array(p, pa.binary()) for p in packed)],
+                    [pa.array(np.full(size, part, np.int32)), pa.array(np.arange(seq, seq + size)), sub.column(0), sub.column(1), *(x.cast(pa.binary()) for x in packed)],
                     ["part", "seq", "doc_id", "n_tokens", "control", "data"],
                 )
                 seq += size
@@ -240,13 +284,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sub = batch.slice(at, 256)
-                cols = (sub.column(k).to_pylist() for k in (4, 5, 3))
-                control, data, n = cols
-                n = np.array(n)
-                ids = _parts(by_rank[unpack_all(control, data, n)].astype("<u4").tobytes(), n * 4)
-                yield pa.RecordBatch.from_arrays([*(sub.column(k) for k in range(4)), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "n_tokens", "ids"])
+            for sub in _blocks(batch, 5, BLOCK // 2):
+                n = sub.column(3).to_numpy()
+                ids = by_rank[unpack_all(sub.column(4), sub.column(5), n)].astype("<u4")
+                yield pa.RecordBatch.from_arrays([*(sub.column(k) for k in range(4)), _binary(_ends(n * 4), ids).cast(pa.binary())], ["part", "seq", "doc_id", "n_tokens", "ids"])
 
     rows = spark.read.parquet(f"{path}/tokens").select("part", "seq", "doc_id", "n_tokens", "control", "data")
     return rows.mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, ids binary")

@@ -1,7 +1,9 @@
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -9,23 +11,43 @@ from tokenizers import Tokenizer
 from cuefold.llm import token_output as T
 from tests.llm.cases import corpus, edge_docs, empty
 
-LIBRARY = Tokenizer.from_file(public_tokenizers.path(T.VOCABULARY))
-LIBRARY.encode_special_tokens = True
+PATH = public_tokenizers.path(T.VOCABULARY)
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def listed(encoder, texts):
+    ids, starts = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in pairwise(starts.tolist())]
+
+
+def wanted(texts, library=LIBRARY):
+    return [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=200) | st.text(" \n\tabé's1!<|endoftext|> ß😀", max_size=60))
-def test_encoder_is_the_library(text):
-    assert T.encoder(public_tokenizers.path(T.VOCABULARY)).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(max_size=200) | st.text(" \n\tab,.é's1!<|endoftext|> ß\x1c\x85\u3000😀𮯰", max_size=60), max_size=4))
+def test_encoder_is_the_library(texts):
+    assert listed(T.encoder(PATH), texts) == wanted(texts)
 
 
 def test_encoder_forgets_and_goes_on(monkeypatch):
     texts = [t for _, t, _ in corpus(60)] + ["  two  spaces ", " \n x", "a\x1cb \x85c", "it's 'll 's"]
-    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in T.Encoder(public_tokenizers.path(T.VOCABULARY)).encode(texts)] == want
+    assert listed(T.Encoder(PATH), texts) == wanted(texts)
     monkeypatch.setattr(T, "REMEMBERED", 50)
-    own = T.Encoder(public_tokenizers.path(T.VOCABULARY))
-    assert [own.encode([t])[0].tolist() for t in texts] == want
+    own = T.Encoder(PATH)
+    assert [listed(own, [t])[0] for t in texts * 2] == wanted(texts * 2)
+
+
+def test_long_texts(monkeypatch):
+    monkeypatch.setattr(T, "STRETCH", 1000)
+    texts = [("wörd, " * 3000) + " end", "x" * 50_000, "<|endoftext|>" * 300 + " a b" * 2000, "  " * 4000]
+    assert listed(T.Encoder(PATH), texts) == wanted(texts)
+
+
+def test_other_vocabularies():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Some words, and more.", "", "  two <|endoftext|> x"]
+    assert listed(T.Encoder(path), texts) == wanted(texts, Tokenizer.from_file(path))
 
 
 @settings(max_examples=200, deadline=None)
