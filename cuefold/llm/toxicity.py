@@ -1,28 +1,35 @@
 """Toxicity: a factorisation machine over hashed terms."""
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.llm import terms
-from cuefold.llm.common import staged
+from cuefold.llm.common import drop_staged, staged
 from cuefold.llm.quality import fold, labelled
 
 
 @dataclass(frozen=True)
 class Settings:
-    """train_rows bounds the labelled rows read for training, most_terms the hashed terms that the machine has weights for."""
+    """train_rows bounds the labelled rows read for training; 2**bits is the table of hashed terms, any of which may get weights.
+
+    A term gets weights on its own evidence (chi-square of least_chi or more) or on that of its pairs: least_docs rows hold it, and what the
+    machine without it leaves over there goes with the other terms of these rows, by at least `sigmas` standard deviations over
+    `sketch` random projections. A row that is explained counts as leaving over at least the share `noise` of the labels' variance.
+    """
 
     bits: int = 20
     train_rows: int = 12_000
-    most_terms: int = 1_024
     least_chi: float = 12.0
+    least_docs: int = 10
+    sketch: int = 64
+    sigmas: float = 12.0
+    noise: float = 0.1
     stems: tuple[int, ...] = (4, 5, 6)
     factors: int = 8
     epochs: int = 30
@@ -92,49 +99,115 @@ def fit(rows: list[tuple[int, list[int]]], kept: np.ndarray, s: Settings) -> Mac
     return Machine(kept, float(b[0]), w, v)
 
 
+def marginal_evidence(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n terms the chi-square, less one half, of its rows' labels against all labels."""
+    flat = np.concatenate(rows)
+    d = np.bincount(flat, minlength=n).astype(float)
+    p = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), minlength=n)
+    expected = d * y.mean()
+    return np.maximum(np.abs(p - expected) - 0.5, 0) ** 2 * (1 / (expected + 1e-9) + 1 / (d - expected + 1e-9))
+
+
+def pair_evidence(rows: list[np.ndarray], left: np.ndarray, n: int, variance: float, s: Settings) -> np.ndarray:
+    """For each of n terms how many standard deviations the covariance of `left` with its rows' other terms stands out.
+
+    All other terms of a row are taken together, as `sketch` sums of random signs over the root of their number: a pair that tells the label
+    moves every sum by its partner's sign. What a term's rows have in common cancels, so only pairs count, not the term alone.
+    """
+    signs = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (n, s.sketch))
+    cross, plain = np.zeros((n, s.sketch), np.float32), np.zeros((n, s.sketch), np.float32)
+    docs, first, second, squares = (np.zeros(n) for _ in range(4))
+    for row, g in zip(rows, left.tolist(), strict=True):
+        if len(row):
+            sums = signs[row].sum(axis=0) / np.sqrt(len(row), dtype=np.float32)
+            cross[row] += np.float32(g) * sums
+            plain[row] += sums
+            docs[row] += 1
+            first[row] += g
+            second[row] += g * g
+            squares[row] += float(sums @ sums)
+    m = np.maximum(docs, 1)
+    spread = np.maximum((second - first**2 / m) / m, s.noise * variance) * (squares - (plain**2).sum(axis=1) / m) / s.sketch
+    told = ((cross - (first / m)[:, None] * plain) ** 2).sum(axis=1) / np.maximum(spread, 1e-9)
+    return np.where((docs >= s.least_docs) & (spread > 1e-6), (told / s.sketch - 1) * np.sqrt(s.sketch / 2), 0)
+
+
+def learn(rows: list[tuple[int, list[int]]], s: Settings) -> Machine:
+    """The machine over all hashed terms of (label, terms) rows: fitted on terms that tell by themselves, then, if pairs of others do, on those as well."""
+    y = np.array([r[0] for r in rows], float)
+    present, flat = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[1], np.int64) for r in rows]]), return_inverse=True)
+    own = np.split(flat, np.cumsum([len(r[1]) for r in rows])[:-1])
+
+    def fitted(kept: np.ndarray) -> tuple[Machine, list[np.ndarray]]:
+        place = np.full(len(present), -1)
+        place[kept] = np.arange(len(kept))
+        slots = [at[at >= 0] for at in (place[r] for r in own)]
+        return fit([(int(a), x.tolist()) for a, x in zip(y, slots, strict=True)], present[kept], s), slots
+
+    kept = np.flatnonzero(marginal_evidence(own, y, len(present)) >= s.least_chi)
+    machine, slots = fitted(kept)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in slots])
+    dots = machine.dots(owner, np.concatenate([np.zeros(0, np.int64), *slots]), len(rows))
+    left = 1 / (1 + np.exp(-np.clip(dots, -35, 35))) - y
+    more = np.flatnonzero(pair_evidence(own, left, len(present), y.mean() * (1 - y.mean()), s) > s.sigmas)
+    both = np.union1d(kept, more)
+    return fitted(both)[0] if len(both) > len(kept) else machine
+
+
+def _fitted(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(k, a, t) for batch in batches for k, a, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+        if rows:
+            m = learn([(a, t) for _, a, t in sorted(rows)], s)
+            data = [m.terms.astype("<i8").tobytes(), m.linear.astype("<f8").tobytes(), m.factors.astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x], pa.binary()) for x in data)], ["bias", "terms", "linear", "factors"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, s: Settings = Settings()) -> Machine | None:  # noqa: B008
-    """The machine; None without labelled rows.
+    """The machine; None without labelled rows. The bounded labelled sample is hashed where its rows lie and fitted by one executor; the driver gets the model alone.
 
-    Terms of the bounded labelled sample are counted by label, and those that differ most between the labels (chi-square) are kept; only
-    the kept terms of the sample's rows, bounded by the settings, reach the driver, which fits the machine.
+    A doc_id with both labels has a row of each.
     """
     sample = staged(labelled(docs, labels, label, folds, held_out, s.train_rows).mapInArrow(_terms_of(s), "key long, label int, terms array<int>"), "terms")
-    total = sample.agg(F.count("*"), F.sum("label")).first()
-    n, pos = total[0], total[1] or 0
-    if not n:
+    found = sample.coalesce(1).mapInArrow(_fitted(s), "bias double, terms binary, linear binary, factors binary").collect()
+    drop_staged(sample)
+    if not found:
         return None
-    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("d"), F.sum("label").cast("double").alias("p"))
-    expected = F.col("d") * (pos / n)
-    off = F.abs(F.col("p") - expected)
-    chi = F.greatest(off - 0.5, F.lit(0.0)) ** 2 * (1 / (expected + 1e-9) + 1 / (F.col("d") - expected + 1e-9))
-    kept = counts.select("term", chi.alias("chi")).where(F.col("chi") >= s.least_chi).orderBy(F.desc("chi"), "term").limit(s.most_terms)
-    kept = np.sort(np.array([r[0] for r in kept.collect()], np.int64))
-    slots = F.array_intersect("terms", F.lit(kept.tolist()) if len(kept) else F.array().cast("array<int>"))
-    rows = sample.select("key", "label", slots.cast("array<int>").alias("t")).orderBy("key", "label", "t").collect()
-    return fit([(r["label"], np.searchsorted(kept, r["t"]).tolist()) for r in rows], kept, s)
+    bias, known, linear, factors = found[0]
+    return Machine(np.frombuffer(known, "<i8"), bias, np.frombuffer(linear, "<f8"), np.frombuffer(factors, "<f8").reshape(-1, s.factors))
+
+
+def _scorer(m: Machine | None, s: Settings):
+    """A function that gives the score of each of a list of texts."""
+    place = np.full(1 << s.bits, -1, np.int32)
+    if m is not None:
+        place[m.terms] = np.arange(len(m.terms))
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        if m is None:
+            return np.full(len(texts), 0.5)
+        out = [np.zeros(0)]
+        for _, part in terms.slices(texts, lower=True):
+            owner, h = terms.stems(part, s.stems)
+            slot = place[(h >> np.uint64(64 - s.bits)).astype(np.int64)]
+            known = max(1, len(m.terms))
+            own = np.unique(owner[slot >= 0].astype(np.int64) * known + slot[slot >= 0])
+            out.append(1 / (1 + np.exp(-np.clip(m.dots(own // known, own % known, len(part)), -35, 35))))
+        return np.concatenate(out)
+
+    return scores
 
 
 def score(docs: DataFrame, machine: Machine | None, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(doc_id, score) for each row's whole text. Empty and null texts get the bias alone; without a machine all get 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # most_terms x factors numbers, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # terms of the bounded sample x factors numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        place = np.full(1 << s.bits, -1, np.int32)
-        if m is not None:
-            place[m.terms] = np.arange(len(m.terms))
+        scores = _scorer(shared.value, s)
         for batch in batches:
-            out = []
-            for _, part in terms.slices(batch.column(1).to_pylist(), lower=True):
-                if m is None:
-                    out.append(np.full(len(part), 0.5))
-                    continue
-                owner, h = terms.stems(part, s.stems)
-                slot = place[(h >> np.uint64(64 - s.bits)).astype(np.int64)]
-                own = np.unique(owner[slot >= 0].astype(np.int64) * len(m.terms) + slot[slot >= 0]) if len(m.terms) else np.zeros(0, np.int64)
-                dots = m.dots(own // max(1, len(m.terms)), own % max(1, len(m.terms)), len(part))
-                out.append(1 / (1 + np.exp(-np.clip(dots, -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
@@ -148,24 +221,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """`docs` without those scored at or above the threshold; all columns kept. Texts are scored where they lie: no shuffle.
 
-    Rows go by their own text, whatever their doc_id; null and empty texts get the bias alone.
+    Rows go by their own text, whatever their doc_id; null and empty texts get the bias alone. Without labelled rows all stay.
     """
     machine = train(docs, labels, s=s)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
-    def toxic(texts):
-        import pandas as pd
-
-        m, out = shared.value, []
-        for _, part in terms.slices([None if x is None or x != x else x for x in texts], lower=True):
-            owner, h = terms.stems(part, s.stems)
-            h = (h >> np.uint64(64 - s.bits)).astype(np.int64)
-            at = np.searchsorted(m.terms, h)
-            hit = (at < len(m.terms)) & (m.terms[np.minimum(at, max(0, len(m.terms) - 1))] == h) if len(m.terms) else np.zeros(len(h), bool)
-            own = np.unique(owner[hit].astype(np.int64) * max(1, len(m.terms)) + at[hit])
-            dots = m.dots(own // max(1, len(m.terms)), own % max(1, len(m.terms)), len(part))
-            out.append(1 / (1 + np.exp(-np.clip(dots, -35, 35))))
-        return pd.Series(np.concatenate([np.zeros(0), *out]))
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scores = _scorer(shared.value, s)
+        for texts in batches:
+            yield pd.Series(scores([None if x is None or x != x else x for x in texts]))
 
     return docs if machine is None else docs.where(toxic(F.col("text").cast("string")) < threshold)
