@@ -113,13 +113,13 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def link_groups(codes: np.ndarray, groups: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join, in each group, all codes which chains of pairs at `most` or fewer differing bits connect: one star for each component.
+def near_pairs(codes: np.ndarray, groups: np.ndarray, most: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the pairs of one group that are at most `most` bits apart and whose labels differ, some thousand pairs at a time.
 
     Codes come ordered by group and Gray rank. Pairs of index nodes are followed downwards; a pair is left as soon as the bits that each
-    node's codes share differ in more than `most` places, or, at the leaves, once both are known to be of one component.
+    node's codes share differ in more than `most` places, or, at the leaves, once both are known to be of one label. Labels are looked
+    up anew for each step, so the caller may join them meanwhile.
     """
-    label = np.arange(len(codes))
     levels = _levels(codes, groups)
     top = len(levels[-1]["at"])
     stack = [(len(levels) - 1, np.arange(top), np.arange(top))]
@@ -147,8 +147,15 @@ def link_groups(codes: np.ndarray, groups: np.ndarray, most: int = 4) -> tuple[n
             same = x == y
             stack += [(level - 1, u, v) for u, v in ((x[~same], y[~same]), (x[same], y[same])) if len(u)]
         else:
-            near = np.bitwise_count(codes[x] ^ codes[y]) <= most
-            _hook(label, x[near], y[near])
+            near = (np.bitwise_count(codes[x] ^ codes[y]) <= most) & (label[x] != label[y])
+            yield x[near], y[near]
+
+
+def link_groups(codes: np.ndarray, groups: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join, in each group, all codes which chains of pairs at `most` or fewer differing bits connect: one star for each component."""
+    label = np.arange(len(codes))
+    for x, y in near_pairs(codes, groups, most, label):
+        _hook(label, x, y)
     far = np.flatnonzero(label != np.arange(len(codes)))
     return codes[far], codes[label[far]]
 
