@@ -4,7 +4,7 @@ import corpus_pipeline
 from cuefold.llm import decontaminate, mixing, toxicity
 from tests.llm.cases import SF, empty
 from tests.llm.test_mixing import plain_count
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain_components
 from tests.llm.test_token_output import check  # noqa: F401
 
 
@@ -19,8 +19,8 @@ def test_stages_against_plain_forms(spark):
     assert {r["doc_id"] for r in one.collect()} == {r["doc_id"] for r in docs.collect()} - bad and bad
     assert one.columns == docs.columns
     two = stage["near_duplicates"](spark, one, SF).cache()
-    found = plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in one.collect()])
-    assert sorted(r["doc_id"] for r in two.collect()) == sorted(d for d, _, c in found if d == c)
+    found = plain_components([(r["doc_id"], r["text"]) for r in one.collect()])  # all pairs of five-word shingle sets
+    assert sorted(r["doc_id"] for r in two.collect()) == sorted(d for d, c in found.items() if d == c)
     three = stage["decontamination"](spark, two, SF).cache()
     hits = {r["doc_id"] for r in decontaminate.contaminated(two, bench).collect()}
     assert {r["doc_id"] for r in three.collect()} == {r["doc_id"] for r in two.collect()} - hits
