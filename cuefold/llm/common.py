@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Inner columns start so, so that no column of a caller's table clashes with them.
@@ -15,9 +16,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. A temporary one stands in where it is unset, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cuefold-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,3 +59,19 @@ def text_or_empty(text: str = "text"):
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it has been counted and is below `limit` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, salt: Column, heavy: int = 20_000) -> DataFrame:
+    """`rows` left-joined by `key` with `one`, a table of one row for each key, so that no key's rows all meet in one task.
+
+    A key with more than a `heavy`th of all rows is dealt out over parts of that many rows, and its row of `one` goes to each part. There
+    are fewer than `heavy` such keys, whose list is broadcast, and fewer than 2 * `heavy` such copies, whatever the input.
+    """
+    most = max(1, -(-rows.count() // heavy))
+    large = rows.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias(f"{OWN}key"), F.ceil(F.col("count") / most).cast("int").alias(f"{OWN}parts"))
+    large = F.broadcast(staged(large, "heavy"))
+    parts, part = F.coalesce(F.col(f"{OWN}parts"), F.lit(1)), f"{OWN}part"
+    left = rows.join(large, F.col(key) == F.col(f"{OWN}key"), "left").withColumn(part, F.pmod(F.xxhash64(salt), parts).cast("int"))
+    right = one.join(large, F.col(key) == F.col(f"{OWN}key"), "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
+    own = [f"{OWN}key", f"{OWN}parts"]
+    return left.drop(*own).join(right.drop(*own), [key, part], "left").drop(part)
