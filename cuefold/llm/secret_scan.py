@@ -20,25 +20,43 @@ LEAST = 16
 #: Words and identifiers, with at most one short number in them: random strings of base62 rarely look so.
 WORD = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_]{4})[A-Za-z_]{2,}+(?:[0-9]{1,4}+[A-Za-z_]*+)?+(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "markov")
+#: Matches of a text whose places are summed up together.
+CHUNK = 128
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of `value`, which is worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """start, stop (code points, end exclusive) and the value of `group` for each match, leftmost first, none overlapping.
 
-    The pieces between the matches and the matches together are the text, so places are sums of their lengths.
+    The pieces between the matches and the matches together are the text, so places are sums of their lengths, made chunk by chunk, since
+    each step copies the array it adds to.
     """
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), values.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         stop = start + F.length(x["hit"])
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    def placed(c: Column) -> Column:
+        return F.aggregate(c["own"], F.struct(c["begin"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def all_placed(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda own: F.aggregate(own, F.lit(0), lambda acc, x: acc + F.length(x["gap"]) + F.length(x["hit"])))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.transform(F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), lambda own, n: F.struct(own.alias("own"), n.alias("begin"))), placed))
+
+    def cut(z: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(z) / CHUNK).cast("int")), lambda k: F.slice(z, k * CHUNK + 1, F.lit(CHUNK)))
+
+    return _let(zipped, lambda z: _let(cut(z), all_placed))
 
 
 def _only_if(condition: Column, found: Column) -> Column:
@@ -57,18 +75,12 @@ def findings(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), others.alias("others"))
 
 
-def _place(value: Column, i: Column) -> Column:
-    """0 for a sign outside the alphabet, else its place from 1."""
-    return F.instr(F.lit(SIGNS), F.substring(value, i, F.lit(1)))
-
-
 def _pairs(value: Column) -> Column:
-    """For each pair of neighbouring signs its place in a (n + 1) x (n + 1) table."""
+    """For each pair of neighbouring signs its place in a (n + 1) x (n + 1) table; a sign outside the alphabet counts as 0, the others from 1."""
     n = len(SIGNS) + 1
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: _place(value, i))
-    first = F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0)))
-    second = F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0)))
-    return F.zip_with(first, second, lambda a, b: a * n + b)
+    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(SIGNS), c))
+    size = F.greatest(F.size(places) - 1, F.lit(0))
+    return F.zip_with(F.slice(places, F.lit(1), size), F.slice(places, F.lit(2), size), lambda a, b: a * n + b)
 
 
 def train(docs: DataFrame, found: DataFrame, samples: int = 20_000, sample_docs: int = 2_000) -> list[float]:
@@ -123,6 +135,7 @@ def secrets(docs: DataFrame, threshold: float = 0.5, samples: int = 20_000, samp
 
     The base matches are those of the three patterns. A string of 16 or more signs, or a part of one outside the base matches of that
     length, whose mean log-likelihood ratio exceeds `threshold` is a further span of kind `markov`; base ones stay. A null or empty text has none.
+    A text's time grows with its length, and with the product of its long runs and its base matches.
     Repeated rows give repeated rows; an empty table gives none.
     """
     found = staged(findings(docs), "findings")

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 
 from cuefold.llm import secret_scan
 from tests.llm.cases import corpus
@@ -23,3 +25,16 @@ def test_letters_only_keys_and_parts_beside_base_matches(spark):
     assert sum(found[i] == "markov:7:27" for i in letters) >= 18, [found[i] for i in letters]
     assert [found[4000 + i] for i in range(len(names))] == [""] * len(names)
     assert "markov:2:27" in found[5000] and "hex:27:59" in found[5000]
+
+
+def test_very_long_texts(spark):
+    """One unbroken string of a million signs, and one text of thousands of matches, take seconds."""
+    rng = random.Random(4)
+    whole = "".join(rng.choices(KEYED, k=1_000_000))
+    many = " ".join(f"token={''.join(rng.choices(KEYED, k=20))} x" for _ in range(4_000))
+    rows = [(i, t) for i, t, _ in corpus(100)] + [(5_000, whole), (5_001, many)] + [(6_000 + i, f'token = "{"".join(rng.choices(KEYED, k=32))}"') for i in range(100)]
+    started = time.monotonic()
+    found = {r["doc_id"]: r for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[5_000]["spans"].endswith("markov:0:1000000") and found[5_001]["n_assign"] == 4_000
+    assert found[5_001]["base_sha256"] == hashlib.sha256(",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\w+", many)).encode()).hexdigest()
+    assert time.monotonic() - started < 120
