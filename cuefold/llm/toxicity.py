@@ -19,7 +19,7 @@ class Settings:
     """train_rows bounds the labelled rows read for training; 2**bits is the table of hashed terms, any of which may get weights.
 
     A term gets weights on its own evidence (chi-square of least_chi or more) or on that of its pairs: least_docs rows hold it, and what the
-    machine without it leaves over there goes with the other terms of these rows, by at least `sigmas` standard deviations over
+    machine without it leaves over there goes with the other such terms of these rows, by at least `sigmas` standard deviations over
     `sketch` random projections. A row that is explained counts as leaving over at least the share `noise` of the labels' variance.
     """
 
@@ -64,11 +64,12 @@ def distinct_terms(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndar
 def _terms_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists: list[list[int]] = []
-            for _, part in terms.slices(batch.column(1).to_pylist(), lower=True):
+            for first, part in terms.slices(batch.column(1).to_pylist(), lower=True):
                 owner, term = distinct_terms(part, s)
-                lists += [x.tolist() for x in np.split(term, np.searchsorted(owner, np.arange(1, len(part))))] if len(part) else []
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["key", "label", "terms"])
+                starts = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(term.astype(np.int32)))
+                own = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([own.column(2), own.column(0), lists], ["key", "label", "terms"])
 
     return run
 
@@ -99,11 +100,10 @@ def fit(rows: list[tuple[int, list[int]]], kept: np.ndarray, s: Settings) -> Mac
     return Machine(kept, float(b[0]), w, v)
 
 
-def marginal_evidence(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
-    """For each of n terms the chi-square, less one half, of its rows' labels against all labels."""
-    flat = np.concatenate(rows)
+def marginal_evidence(flat: np.ndarray, label: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n terms the chi-square, less one half, of its rows' labels against all labels `y`; `flat` has a term and `label` its row's label."""
     d = np.bincount(flat, minlength=n).astype(float)
-    p = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), minlength=n)
+    p = np.bincount(flat, label, minlength=n)
     expected = d * y.mean()
     return np.maximum(np.abs(p - expected) - 0.5, 0) ** 2 * (1 / (expected + 1e-9) + 1 / (d - expected + 1e-9))
 
@@ -127,40 +127,50 @@ def pair_evidence(rows: list[np.ndarray], left: np.ndarray, n: int, variance: fl
             second[row] += g * g
             squares[row] += float(sums @ sums)
     m = np.maximum(docs, 1)
-    spread = np.maximum((second - first**2 / m) / m, s.noise * variance) * (squares - (plain**2).sum(axis=1) / m) / s.sketch
-    told = ((cross - (first / m)[:, None] * plain) ** 2).sum(axis=1) / np.maximum(spread, 1e-9)
-    return np.where((docs >= s.least_docs) & (spread > 1e-6), (told / s.sketch - 1) * np.sqrt(s.sketch / 2), 0)
+    spread = np.maximum((second - first**2 / m) / m, s.noise * variance) * (squares - np.einsum("ij,ij->i", plain, plain) / m) / s.sketch
+    cross -= (first / m).astype(np.float32)[:, None] * plain
+    told = np.einsum("ij,ij->i", cross, cross) / np.maximum(spread, 1e-9)
+    return np.where(spread > 1e-6, (told / s.sketch - 1) * np.sqrt(s.sketch / 2), 0)
 
 
-def learn(rows: list[tuple[int, list[int]]], s: Settings) -> Machine:
-    """The machine over all hashed terms of (label, terms) rows: fitted on terms that tell by themselves, then, if pairs of others do, on those as well."""
-    y = np.array([r[0] for r in rows], float)
-    present, flat = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[1], np.int64) for r in rows]]), return_inverse=True)
-    own = np.split(flat, np.cumsum([len(r[1]) for r in rows])[:-1])
+def learn(y: np.ndarray, flat: np.ndarray, lengths: np.ndarray, s: Settings) -> Machine:
+    """The machine over all hashed terms of rows (labels, terms one row after the other, each row's number of them): fitted on terms that tell by themselves,
+    then, if pairs of others do, on those as well."""
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    stops = np.cumsum(lengths)[:-1]
+
+    def only(kept: np.ndarray) -> list[np.ndarray]:
+        """Each row's terms among `kept`, as places in it."""
+        place = np.full(1 << s.bits, -1, np.int32)
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        at = place[flat]
+        return [x[x >= 0] for x in np.split(at, stops)]
 
     def fitted(kept: np.ndarray) -> tuple[Machine, list[np.ndarray]]:
-        place = np.full(len(present), -1)
-        place[kept] = np.arange(len(kept))
-        slots = [at[at >= 0] for at in (place[r] for r in own)]
-        return fit([(int(a), x.tolist()) for a, x in zip(y, slots, strict=True)], present[kept], s), slots
+        slots = only(kept)
+        return fit(list(zip(y.astype(int).tolist(), slots, strict=True)), kept, s), slots
 
-    kept = np.flatnonzero(marginal_evidence(own, y, len(present)) >= s.least_chi)
+    kept = np.flatnonzero(marginal_evidence(flat, y[owner], y, 1 << s.bits) >= s.least_chi)
     machine, slots = fitted(kept)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in slots])
-    dots = machine.dots(owner, np.concatenate([np.zeros(0, np.int64), *slots]), len(rows))
+    dots = machine.dots(np.repeat(np.arange(len(y)), [len(x) for x in slots]), np.concatenate([np.zeros(0, np.int64), *slots]), len(y))
     left = 1 / (1 + np.exp(-np.clip(dots, -35, 35))) - y
-    more = np.flatnonzero(pair_evidence(own, left, len(present), y.mean() * (1 - y.mean()), s) > s.sigmas)
+    common = np.flatnonzero(np.bincount(flat, minlength=1 << s.bits) >= s.least_docs)
+    more = common[pair_evidence(only(common), left, len(common), y.mean() * (1 - y.mean()), s) > s.sigmas]
     both = np.union1d(kept, more)
     return fitted(both)[0] if len(both) > len(kept) else machine
 
 
 def _fitted(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(k, a, t) for batch in batches for k, a, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
-        if rows:
-            m = learn([(a, t) for _, a, t in sorted(rows)], s)
-            data = [m.terms.astype("<i8").tobytes(), m.linear.astype("<f8").tobytes(), m.factors.astype("<f8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x], pa.binary()) for x in data)], ["bias", "terms", "linear", "factors"])
+        table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32()))]))
+        if not table.num_rows:
+            return
+        table = table.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
+        lists = table.column("terms").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        m = learn(table.column("label").to_numpy().astype(float), lists.flatten().to_numpy(), lengths, s)
+        data = [m.terms.astype("<i8").tobytes(), m.linear.astype("<f8").tobytes(), m.factors.astype("<f8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x], pa.binary()) for x in data)], ["bias", "terms", "linear", "factors"])
 
     return run
 
