@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuefold.functions import text as T
 from cuefold.functions.udfs import seq_ratio
+from cuefold.operators.ranks import numbered, staged
 
 
 def _sorted_key(tokens: Column) -> Column:
@@ -24,8 +25,9 @@ def similar_titles(rows: DataFrame, stop_words: list[str], jaccard: float = 0.65
 
     Titles with the same sorted tokens are one key, so copies of a title are no pairs here: they are alike, whatever the thresholds.
     Jaccard pairs share a token of their prefix: with tokens ordered by how rare they are, two sets that reach the threshold meet in the
-    first n - ceil(t * n) + 1. Ratio pairs are found through lengths and letter counts: keys whose bound 2 * common letters / (sum of
-    lengths) reaches the threshold; candidates meet by length band and by their rarest letters' counts. `sequence` None leaves that out.
+    first n - ceil(t * n) + 1. Ratio pairs meet by length band, each pair once, and go to Python only if the bound 2 * common letters / (sum
+    of lengths) reaches the threshold. No key of letters alone parts alike titles from others without losing pairs, so titles of one band
+    and one group of `within` are compared with each other in the JVM: meant for the titles of a day. `sequence` None leaves it out.
     """
     within = within or []
     keys = rows.select(*within, T.event_tokens(F.col("title"), stop_words).alias("tokens")).withColumn("key", _sorted_key(F.col("tokens"))).dropDuplicates([*within, "key"])
@@ -60,49 +62,67 @@ def similar_titles(rows: DataFrame, stop_words: list[str], jaccard: float = 0.65
     return reduce(DataFrame.unionByName, out).groupBy(*within, "a", "b").agg(F.bool_or("ab").alias("ab"), F.bool_or("ba").alias("ba"))
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Written to the shared folder that the cluster names and read again; checkpoint() where the session has none."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(f"/tmp/cuefold-{uuid.uuid4().hex}")
-        return df.checkpoint()
-    path = f"{where.rstrip('/')}/cuefold/leaders-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _followers(edges: DataFrame, within: list[str], rounds: int) -> DataFrame:
+    """(within..., event_key) of the nodes that join an earlier leader. A leader is a node none of whose earlier neighbours is one.
+
+    Each round settles the nodes next to the leaders known so far and carries on with the open edges alone. A long chain settles one node a
+    round; what `rounds` leave open is finished group by group, where only the open edges of a group meet.
+    """
+    key = [*within, "event_key"]
+    named = lambda df, c: df.select(*within, F.col(c).alias("event_key"))
+    settled, leads = [], named(edges, "early").distinct().join(named(edges, "late").distinct(), key, "left_anti")
+    for _ in range(rounds):
+        led = edges.join(leads.withColumnRenamed("event_key", "early"), [*within, "early"], "left_semi")
+        follow = staged(named(led, "late").distinct(), "followers")
+        settled.append(follow)
+        rest = edges
+        for side in ("late", "early"):
+            rest = rest.join(follow.withColumnRenamed("event_key", side), [*within, side], "left_anti")
+        open_edges = staged(rest, "edges")
+        leads = named(edges, "late").distinct().join(follow, key, "left_anti").join(named(open_edges, "late").distinct(), key, "left_anti")
+        edges, leads = open_edges, staged(leads, "leaders")
+        if not edges.limit(1).count():
+            break
+    else:
+
+        def finish(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            led: dict[str, bool] = {}
+            for late, early in pdf.sort_values(["s", "v"]).groupby("late", sort=False)["early"]:
+                led[late] = any(not led.get(e, False) for e in early)
+            return pd.DataFrame([(*group, k) for k, follows in led.items() if follows], columns=key)
+
+        schema = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in within)
+        settled.append(edges.select(*within, "early", "late", "pl.*").groupBy(*within).applyInPandas(finish, f"{schema + ', ' if within else ''}event_key string"))
+    return reduce(DataFrame.unionByName, settled)
 
 
-def leader_clusters(rows: DataFrame, stop_words: list[str], jaccard: float = 0.65, sequence: float | None = 0.78, within: list[str] | None = None, penalty: float = 3.0) -> DataFrame:
+def leader_clusters(rows: DataFrame, stop_words: list[str], jaccard: float = 0.65, sequence: float | None = 0.78, within: list[str] | None = None, penalty: float = 3.0, rounds: int = 20) -> DataFrame:
     """`rows` (video_id, title, final_score, ...) with event_key, semantic_duplicate_group, event_duplicate_penalty and the lowered final_score.
 
     In order of score (then id) each row joins the first leader that it is like, or becomes a leader. Rows of one key are one node of the
-    similarity graph, placed by its best row; leaders are the nodes none of whose earlier neighbours is a leader, found in rounds in
-    which every node decides whose earlier neighbours have all decided. A group's rows lose `penalty` for each row of it before them.
+    similarity graph, placed by its best row; leaders are the nodes none of whose earlier neighbours is a leader. A group's rows lose `penalty` for each row of it before them.
     """
     within = within or []
     keyed = rows.withColumn("event_key", _sorted_key(T.event_tokens(F.col("title"), stop_words)))
     best = keyed.groupBy(*within, "event_key").agg(F.min(F.struct((-F.col("final_score")).alias("s"), F.col("video_id").alias("v"))).alias("place"))
-    nodes = _staged(best)
+    nodes = staged(best, "nodes")
     pairs = similar_titles(rows, stop_words, jaccard, sequence, within)
     placed = pairs.join(nodes.withColumnsRenamed({"event_key": "a", "place": "pa"}), [*within, "a"]).join(nodes.withColumnsRenamed({"event_key": "b", "place": "pb"}), [*within, "b"])
     first = F.col("pa") < F.col("pb")
     placed = placed.where(F.when(first, F.col("ba")).otherwise(F.col("ab")))  # the later title is compared with the leader
-    edges = _staged(placed.select(*within, F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("pa", "pb").alias("place")))
-    touched = edges.select(*within, F.col("late").alias("event_key")).distinct()
-    state = _staged(nodes.join(touched, [*within, "event_key"], "left").select(*within, "event_key", F.lit(None).cast("boolean").alias("leads")).join(touched.withColumn("later", F.lit(True)), [*within, "event_key"], "left").select(*within, "event_key", F.when(F.col("later").isNull(), True).alias("leads")))
-    while state.where("leads is null").limit(1).count():
-        known = edges.join(state.withColumnsRenamed({"event_key": "early", "leads": "led"}), [*within, "early"])
-        seen = known.groupBy(*within, F.col("late").alias("event_key")).agg(F.bool_or(F.coalesce("led", F.lit(False))).alias("some"), F.bool_or(F.col("led").isNull()).alias("open"))
-        now = F.coalesce("leads", F.when(F.col("some"), False).when(~F.col("open"), True))
-        state = _staged(state.join(seen, [*within, "event_key"], "left").select(*within, "event_key", now.alias("leads")))
-    leaders = state.where("leads").join(nodes, [*within, "event_key"])
+    early, late = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    edges = staged(placed.select(*within, early.alias("early"), late.alias("late"), F.least("pa", "pb").alias("place"), F.greatest("pa", "pb").alias("pl")), "edges")
+    follow = staged(_followers(edges, within, rounds), "followers")
+    leaders = nodes.join(follow, [*within, "event_key"], "left_anti")
     own = leaders.select(*within, "event_key", "place")
-    joined = edges.join(state.where("leads").select(*within, F.col("event_key").alias("early")), [*within, "early"]).join(state.where("not leads").select(*within, F.col("event_key").alias("late")), [*within, "late"])
-    followers = joined.groupBy(*within, F.col("late").alias("event_key")).agg(F.min("place").alias("place"))
-    member = own.unionByName(followers)
-    order = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    names = leaders.select(*within, "place", F.concat(F.lit("event_"), F.lpad(F.row_number().over(order.orderBy("place")).cast("string"), 4, "0")).alias("semantic_duplicate_group"))
+    led = edges.join(leaders.select(*within, F.col("event_key").alias("early")), [*within, "early"]).join(follow.withColumnRenamed("event_key", "late"), [*within, "late"])
+    member = own.unionByName(led.groupBy(*within, F.col("late").alias("event_key")).agg(F.min("place").alias("place")))
+    if within:
+        order = leaders.withColumn("n", F.row_number().over(W.partitionBy(*within).orderBy("place")))
+    else:
+        order = numbered(leaders, "n", ["place"])
+    number = F.col("n").cast("string")
+    names = order.select(*within, "place", F.concat(F.lit("event_"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0"))).alias("semantic_duplicate_group"))
     member = member.join(names, [*within, "place"]).drop("place")
     rank = F.row_number().over(W.partitionBy(*within, "semantic_duplicate_group").orderBy(F.desc("final_score"), "video_id")) - 1
     out = keyed.join(member, [*within, "event_key"]).withColumn("event_duplicate_penalty", rank * float(penalty))

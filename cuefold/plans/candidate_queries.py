@@ -93,13 +93,13 @@ def title_pairs(spark, d):
 
 
 def title_pairs_ratio(spark, d):
-    rows = V.table(spark, d, "documents").select("source", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"))
-    return clustering.similar_titles(rows, ["the", "of", "and"], 0.65, 0.78, ["source"])
+    rows = V.table(spark, d, "part").select("p_type", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    return clustering.similar_titles(rows, ["the", "of", "and"], 0.65, 0.78, ["p_type"])
 
 
 def event_groups(spark, d):
     rows = V.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "source", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), (F.col("n_chars") % 97).cast("double").alias("final_score"))
-    return clustering.leader_clusters(rows, ["the", "of", "and"], 0.65, None, ["source"]).select("video_id", "source", "semantic_duplicate_group", "event_duplicate_penalty", "final_score")
+    return clustering.leader_clusters(rows, ["the", "of", "and"], 0.65, 0.78, ["source"]).select("video_id", "source", "semantic_duplicate_group", "event_duplicate_penalty", "final_score")
 
 
 def ranked_candidates(spark, d):

@@ -1,3 +1,4 @@
+import itertools
 import random
 from difflib import SequenceMatcher
 
@@ -35,6 +36,31 @@ def test_leaders_are_the_greedy_ones(spark, ratio):
     df = spark.createDataFrame(rows, "video_id string, title string, final_score double")
     got = {r["video_id"]: r["semantic_duplicate_group"] for r in clustering.leader_clusters(df, ["the", "new"], 0.65, ratio).collect()}
     assert got == want
+    apart = clustering.leader_clusters(df.withColumn("day", F.lit("d")), ["the", "new"], 0.65, ratio, ["day"], rounds=1)  # the rest is finished by group
+    assert {r["video_id"]: r["semantic_duplicate_group"] for r in apart.collect()} == want
+
+
+def test_title_pairs_against_all_pairs(spark):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    keys = {(r["p_type"], " ".join(tokens(f"{r['p_name']} {r['p_brand']}"))) for r in parts}
+    want, by_ratio = set(), 0
+    for (g, a), (h, b) in itertools.combinations(sorted(keys), 2):
+        x, y = set(a.split()), set(b.split())
+        same = len(x & y) / len(x | y) >= 0.65
+        ratio = max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.78
+        if g == h and (same or ratio):
+            want.add((g, *sorted((a, b))))
+            by_ratio += not same
+    rows = spark.createDataFrame([(r["p_type"], f"{r['p_name']} {r['p_brand']}") for r in parts], "p_type string, title string")
+    got = {(r["p_type"], r["a"], r["b"]) for r in clustering.similar_titles(rows, ["the", "new"], 0.65, 0.78, ["p_type"]).collect()}
+    assert got == want and by_ratio > 50
+
+
+def test_ranks_over_the_whole_table(spark):
+    rows = spark.range(5_000).selectExpr("id AS video_id", "cast(id * 7919 % 613 AS double) AS final_score").repartition(5)
+    got = selection.by_score(rows).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5_001))
+    assert [(r["final_score"], r["video_id"]) for r in got] == sorted(((r["final_score"], r["video_id"]) for r in got), key=lambda x: (-x[0], x[1]))
 
 
 def row(i, topic="alpha", channel=None, event=None, groups=("g",), popular=(), score=None):
