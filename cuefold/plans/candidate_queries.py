@@ -233,7 +233,7 @@ def usage_cost(spark, d):
 
 
 def parsed_responses(spark, d):
-    c = V.cues(spark, d).withColumn("s", F.struct(F.col("cue_id").alias("id"), F.when(F.col("cue_id") % 4 == 1, " ").otherwise(F.substring("text", 1, 10)).alias("translation")))
+    c = V.cues(spark, d).withColumn("s", F.struct(F.col("cue_id").alias("id"), F.when(F.col("cue_id") % 4 == 1, " ").otherwise(F.col("text")).alias("translation")))
     bodies = c.groupBy("video_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list("s")).alias("segments"))).alias("content")).withColumn("batch", F.lit(1))
     return tasks.parse_responses(bodies)
 
@@ -247,7 +247,7 @@ def candidate_recovery(spark, d):
 
 def publish_rows(spark, d):
     docs = V.table(spark, d, "documents")
-    t = docs.select(F.col("doc_id").alias("task"), F.col("doc_id").cast("string").alias("video_id"), F.substring("text", 1, 90).alias("title"), F.lit("").alias("url"), F.substring("text", 1, 3000).alias("description"), F.lit(True).alias("translation_ready"), F.lit(False).alias("media_ready"), F.lit(True).alias("cover_available"))
+    t = docs.select(F.col("doc_id").alias("task"), F.col("doc_id").cast("string").alias("video_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.lit("").alias("url"), F.col("text").alias("description"), F.lit(True).alias("translation_ready"), F.lit(False).alias("media_ready"), F.lit(True).alias("cover_available"))
     r = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("task"), F.when(F.col("doc_id") % 4 == 0, "中文标题").alias("title_zh"), F.concat(F.lit("a,#b、"), F.col("lang")).alias("tags"), (F.col("doc_id") % 5).cast("int").alias("tid"), F.lit("because").alias("reason"), F.lit("RECOMMENDED").alias("status"))
     cats = spark.createDataFrame(PUBLISH_CATEGORIES, "tid int, name string, parent_name string")
     return tasks.publish_rows(t, r, cats, 1, None, "【免责声明】", "【原视频简介】")
@@ -255,15 +255,15 @@ def publish_rows(spark, d):
 
 def publish_violations(spark, d):
     docs = V.table(spark, d, "documents")
-    title = F.concat(F.when(F.col("doc_id") % 3 == 0, P.PREFIX).otherwise(""), F.lit("题"), F.substring("text", 1, 90))
+    title = F.concat(F.when(F.col("doc_id") % 3 == 0, P.PREFIX).otherwise(""), F.lit("题"), F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
     true = F.lit(True)
-    v = P.violations(title, F.concat(F.lit("免责声明"), F.substring("text", 1, 2500)), F.substring("text", 1, 300), F.when(F.col("doc_id") % 5 == 0, ", ,").otherwise("a"), F.col("doc_id") % 4, (F.col("doc_id") % 4).between(1, 3), F.col("doc_id") % 3, F.when(F.col("doc_id") % 2 == 0, "u").otherwise(""), F.col("doc_id") % 12, F.lit("web"), F.lit("x"), ["web"], ["", "bda"], F.lit(False), true, F.col("doc_id") % 2 == 0)
+    v = P.violations(title, F.concat(F.lit("免责声明"), "text"), F.col("text"), F.when(F.col("doc_id") % 5 == 0, ", ,").otherwise("a"), F.col("doc_id") % 4, (F.col("doc_id") % 4).between(1, 3), F.col("doc_id") % 3, F.when(F.col("doc_id") % 2 == 0, "u").otherwise(""), F.col("doc_id") % 12, F.lit("web"), F.lit("x"), ["web"], ["", "bda"], F.lit(False), true, F.col("doc_id") % 2 == 0)
     return docs.select("doc_id", F.array_join(v, ",").alias("violations"))
 
 
 def recommendations(spark, d):
     docs = V.table(spark, d, "documents")
-    t = docs.select(F.col("doc_id").alias("video_id"), F.substring("text", 1, 60).alias("title"), F.array("lang", "source").alias("tags"))
+    t = docs.select(F.col("doc_id").alias("video_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.array("lang", "source").alias("tags"))
     body = F.struct(F.when(F.col("doc_id") % 3 == 0, "plain").otherwise("好标题").alias("chinese_title"), F.array(F.lit("x"), F.col("lang")).alias("tags"), (F.col("doc_id") % 5).alias("tid"), F.lit("r").alias("reason"))
     cats = spark.createDataFrame(PUBLISH_CATEGORIES, "tid int, name string, parent_name string")
     return tasks.recommended(docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("video_id"), F.to_json(body).alias("payload")), t, cats, 1)
@@ -271,18 +271,18 @@ def recommendations(spark, d):
 
 def metadata_prompts(spark, d):
     docs = V.table(spark, d, "documents").where("doc_id is not null")
-    t = docs.select(F.col("doc_id").alias("video_id"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("channel"), F.array("lang").alias("tags"), F.col("text").alias("description"))
+    t = docs.select(F.col("doc_id").alias("video_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.col("source").alias("channel"), F.array("lang").alias("tags"), F.col("text").alias("description"))
     sample = V.cues(spark, d).select("video_id", F.col("cue_id").alias("id"), F.round("start", 2).alias("start"), F.substring("text", 1, 300).alias("text"))
     return tasks.metadata_prompts(t, sample, spark.createDataFrame(PUBLISH_CATEGORIES, "tid int, name string, parent_name string"))
 
 
 def tags_and_cuts(spark, d):
     docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", P.normalised_tags(P.split_tags(F.concat(F.lit("#One,one、 two "), F.col("lang"), F.lit(";"), F.substring("text", 1, 40)))).alias("tags"), T.truncate_utf16(F.substring("text", 1, 200), 50).alias("cut16"), T.truncate_utf8(F.substring("text", 1, 200), 50).alias("cut8"))
+    return docs.select("doc_id", P.normalised_tags(P.split_tags(F.concat(F.lit("#One,one、 two "), F.col("lang"), F.lit(";"), F.col("text")))).alias("tags"), T.truncate_utf16(F.col("text"), 50).alias("cut16"), T.truncate_utf8(F.col("text"), 50).alias("cut8"))
 
 
 def translation_flags(spark, d):
-    b = V.cues(spark, d).withColumns({"translation": F.substring("text", 1, 45), "seconds": F.col("end") - F.col("start")})
+    b = V.cues(spark, d).withColumns({"translation": F.col("text"), "seconds": F.col("end") - F.col("start")})
     return b.select("video_id", "cue_id", R.speech_seconds(F.col("translation")).alias("speech_seconds"), R.duration_ratio(F.col("translation"), F.col("seconds")).alias("ratio"), F.array_join(R.translation_flags(F.col("text"), F.col("translation"), F.col("seconds"), {"the": "该"}), "|").alias("flags"))
 
 
@@ -339,7 +339,7 @@ def candidate_links(spark, d):
 
 
 def layout_sizes(spark, d):
-    c = V.cues(spark, d).select("video_id", F.col("cue_id").cast("string").alias("identifier"), "start", "end", T.two_lines(F.substring("text", 1, 90)).alias("text"), T.two_lines(F.substring("text", 20, 40), 20).alias("other"))
+    c = V.cues(spark, d).select("video_id", F.col("cue_id").cast("string").alias("identifier"), "start", "end", T.two_lines(F.col("text")).alias("text"), T.two_lines(F.upper("text"), 20).alias("other"))
     sizes = c.select("video_id").distinct().withColumns({"width": F.when(F.col("video_id") % 2 == 0, 1920).otherwise(1080), "height": F.when(F.col("video_id") % 2 == 0, 1080).otherwise(1920)})
     return tasks.font_summary(tasks.font_sizes(c, sizes))
 

@@ -56,7 +56,7 @@ BUILT = f"""
 roll AS (SELECT video_id, count(DISTINCT (mode, query_group, rank, query_text)) FILTER (kind = 'search') AS searches, count(DISTINCT feed) FILTER (kind = 'popular') AS populars FROM hits GROUP BY 1),
 top AS (SELECT video_id, list(DISTINCT CASE feed WHEN 'feed0' THEN 'alpha' ELSE 'beta' END) AS topics FROM hits WHERE feed IN ('feed0', 'feed1') GROUP BY 1),
 ev AS (SELECT event_id % (SELECT count(*) FROM documents) AS video_id, count(*) FILTER (event_type = 'view') * 1000 AS views, count(*) FILTER (event_type = 'click') * 20 AS likes, count(*) FILTER (event_type = 'signup') AS comments, date_trunc('second', min(ts)) AS published FROM events GROUP BY 1),
-v0 AS (SELECT doc_id AS video_id, doc_id % 10 AS k, {TITLE} AS title, substr(text, 1, 2000) AS description, source, lang, 30 + n_chars % 3000 AS duration_seconds, CASE doc_id % 6 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in CATEGORIES)} ELSE CAST(doc_id % 6 AS VARCHAR) END AS category,
+v0 AS (SELECT doc_id AS video_id, doc_id % 10 AS k, {TITLE} AS title, text AS description, source, lang, 30 + n_chars % 3000 AS duration_seconds, CASE doc_id % 6 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in CATEGORIES)} ELSE CAST(doc_id % 6 AS VARCHAR) END AS category,
   coalesce(views, 0) AS view_count, coalesce(likes, 0) AS likes, coalesce(comments, 0) AS comments, published, coalesce(searches, 0) AS searches, coalesce(populars, 0) AS populars, coalesce(topics, []::VARCHAR[]) AS topics
   FROM documents LEFT JOIN ev ON doc_id = ev.video_id LEFT JOIN roll ON doc_id = roll.video_id LEFT JOIN top ON doc_id = top.video_id),
 v1 AS (SELECT *, {normal("title || ' ' || description")} AS x, {normal("title || ' ' || substr(description, 1, 1000)")} AS y, {normal("title")} AS t, {normal("source")} AS g, {normal("substr(description, 1, 1500)")} AS d, {normal("source")} AS c,
@@ -135,7 +135,7 @@ ORACLE_SQL = {
       SELECT o_orderkey, array_to_string(a[greatest(len(a) - 4, 1):], '|') AS errors FROM e""",
     "checkpoint_match": "SELECT o_orderkey AS task, CASE WHEN o_orderkey % 5 = 3 THEN 'reused' WHEN o_orderkey % 5 = 0 THEN 'migrated' ELSE 'rebuild' END AS action FROM orders",
     "usage_cost": "SELECT l_orderkey % 50 AS video_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS prompt_tokens, CAST(sum(l_linenumber) AS BIGINT) AS completion_tokens, CAST(sum(CAST(l_quantity AS BIGINT) + l_linenumber) AS BIGINT) AS total_tokens, round(sum(CAST(l_quantity AS BIGINT)) / 1e6 * 2.0 + sum(l_linenumber) / 1e6 * 8.0, 6)::DOUBLE AS estimated_cost FROM lineitem GROUP BY 1",
-    "parsed_responses": f"WITH {CUES} SELECT video_id, cue_id AS id, trim(substr(text, 1, 10)) AS translation FROM cues WHERE cue_id % 4 <> 1 AND trim(substr(text, 1, 10)) <> ''",
+    "parsed_responses": f"WITH {CUES} SELECT video_id, cue_id AS id, trim(text) AS translation FROM cues WHERE cue_id % 4 <> 1 AND trim(text) <> ''",
     "snapshot_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) ELSE DATE '2000-01-01' END AS day FROM orders",
     "video_links": """WITH p AS (SELECT page_id, url, substr(md5(CAST(page_id AS VARCHAR)), 1, 11) AS i, page_id % 6 AS k FROM pages) SELECT page_id, CASE WHEN k < 4 THEN i END AS found FROM p""",
     "redacted_logs": "SELECT page_id, 'GET ' || regexp_replace(url, '[?#].*$', '') || ' <redacted> --cookies <cookies_file> see https://h.example/p?v=1' AS line FROM pages",

@@ -77,7 +77,7 @@ def prompt_payloads(spark, d):
 
 
 def subtitle_sample(spark, d):
-    words = document_words(spark, d).where("n < 60")
+    words = document_words(spark, d)
     return captions.subtitle_sample(words.select("video_id", F.col("n").alias("cue_id"), "start", "end", "text"))
 
 
@@ -273,7 +273,7 @@ def best_chinese(spark, d):
 
 
 def recovery(spark, d):
-    c = V.cues(spark, d).select("video_id", "track", "cue_id", (F.floor(F.col("start") / 20) * 20.0).alias("start"), (F.floor(F.col("end") / 20) * 20.0).alias("end"), F.when(F.col("cue_id") % 2 == 1, F.concat(F.lit("中文字幕"), F.substring("text", 1, 3))).otherwise(F.col("text")).alias("text"))
+    c = V.cues(spark, d).select("video_id", "track", "cue_id", (F.floor(F.col("start") / 20) * 20.0).alias("start"), (F.floor(F.col("end") / 20) * 20.0).alias("end"), F.when(F.col("cue_id") % 2 == 1, F.concat(F.lit("中文字幕"), "text")).otherwise(F.col("text")).alias("text"))
     listed = c.select("video_id", "track").distinct().withColumns({"language": F.when(F.col("track") == "user", "en").otherwise("zh"), "ordinal": F.lit(0)})
     return quality.recovery_scores(quality.track_pairs(listed), c)
 
@@ -323,7 +323,7 @@ def text_helpers(spark, d):
 
 def visible_text(spark, d):
     p = V.table(spark, d, "pages")
-    return p.select("page_id", F.length(T.clean_visible(F.col("html"))).alias("n"), F.length(T.two_lines(F.substring(T.clean_visible(F.col("html")), 1, 120))).alias("wrapped"))
+    return p.select("page_id", F.length(T.clean_visible(F.col("html"))).alias("n"), F.length(T.two_lines(T.clean_visible(F.col("html")))).alias("wrapped"))
 
 
 NAMES = (

@@ -55,7 +55,7 @@ ORACLE_SQL = {
     "translation_batches": f"""WITH {CUES}, r AS (SELECT *, row_number() OVER w AS row FROM cues {W1}), b AS (SELECT *, CAST(floor((row - 1) / 3) + 1 AS INTEGER) AS batch FROM r), g AS (SELECT video_id, batch, count(*) AS cues, min(row) AS lo, max(row) AS hi FROM b GROUP BY ALL)
       SELECT g.video_id, g.batch, CAST(cues AS INTEGER) AS cues, coalesce((SELECT list(cue_id ORDER BY row) FROM b WHERE b.video_id = g.video_id AND row BETWEEN lo - 3 AND lo - 1), []) AS before,
         coalesce((SELECT list(cue_id ORDER BY row) FROM b WHERE b.video_id = g.video_id AND row BETWEEN hi + 1 AND hi + 2), []) AS after FROM g""",
-    "subtitle_sample": r"""WITH w AS (SELECT doc_id AS video_id, regexp_split_to_array(text, '[ \n]+') AS t FROM documents), u AS (SELECT video_id, unnest(t) AS text, unnest(range(0, len(t))) AS n FROM w), s AS (SELECT * FROM u WHERE n < 60),
+    "subtitle_sample": r"""WITH w AS (SELECT doc_id AS video_id, regexp_split_to_array(text, '[ \n]+') AS t FROM documents), u AS (SELECT video_id, unnest(t) AS text, unnest(range(0, len(t))) AS n FROM w), s AS (SELECT * FROM u),
       r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n) AS r, count(*) OVER (PARTITION BY video_id) AS c FROM s)
       SELECT video_id, CAST(n AS INTEGER) AS id, round(n * 0.3::DOUBLE, 2) AS start, substr(text, 1, 300) AS text FROM r WHERE c <= 30 OR r <= 12 OR r > c - 10 OR (r > c // 2 - 4 AND r <= c // 2 + 4)""",
     "interval_union": f"WITH {INTERVALS}, {UNION_SQL.format(name='u', source='spans')} SELECT video_id, count(*) AS n, round(sum(\"end\" - start), 3) AS seconds FROM u GROUP BY video_id",

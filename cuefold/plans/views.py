@@ -103,7 +103,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("video_id") % 10
     return df.select(
         "video_id", F.struct(
-            title.alias("title"), F.substring("text", 1, 2000).alias("description"), F.col("source").alias("channelTitle"), (F.col("video_id") % 6).cast("string").alias("categoryId"), F.concat("p", F.lit("Z")).alias("publishedAt"), F.when(k == 9, "live").otherwise("none").alias("liveBroadcastContent"),
+            title.alias("title"), F.col("text").alias("description"), F.col("source").alias("channelTitle"), (F.col("video_id") % 6).cast("string").alias("categoryId"), F.concat("p", F.lit("Z")).alias("publishedAt"), F.when(k == 9, "live").otherwise("none").alias("liveBroadcastContent"),
             F.when(k < 3, F.col("lang")).alias("defaultAudioLanguage"), F.when(k < 8, F.col("lang")).alias("defaultLanguage"), F.array(F.col("source")).alias("tags"), F.expr("cast(map() AS map<string,struct<url:string>>)").alias("thumbnails"),
         ).alias("snippet"),
         F.struct(F.concat(F.lit("PT"), F.floor((F.lit(30) + F.col("n_chars") % 3000) / 60), F.lit("M"), (F.lit(30) + F.col("n_chars") % 3000) % 60, F.lit("S")).alias("duration"), F.when(k % 2 == 0, "true").otherwise("false").alias("caption")).alias("contentDetails"),
@@ -128,12 +128,12 @@ def translations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Cues as source rows, and as translated rows some of which are missing, extra, empty or moved."""
     c = cues(spark, sf_dir).select("video_id", F.col("cue_id").alias("id"), "start", "end", "text")
     k = (F.col("video_id") * 7 + F.col("id")) % 11
-    translated = c.where(k != 0).select("video_id", F.when(k == 1, F.col("id") + 1000).otherwise(F.col("id")).alias("id"), F.when(k == 2, F.col("start") + 0.5).otherwise(F.col("start")).alias("start"), "end", F.when(k == 3, "").when(k == 4, F.concat(F.substring("text", 1, 5), F.lit("。。"))).otherwise(F.substring("text", 1, 30)).alias("translation"))
+    translated = c.where(k != 0).select("video_id", F.when(k == 1, F.col("id") + 1000).otherwise(F.col("id")).alias("id"), F.when(k == 2, F.col("start") + 0.5).otherwise(F.col("start")).alias("start"), "end", F.when(k == 3, "").when(k == 4, F.concat("text", F.lit("。。"))).otherwise(F.col("text")).alias("translation"))
     return c, translated
 
 
 TRANSLATIONS = CUES + """,
 src AS (SELECT video_id, cue_id AS id, start, "end", text FROM cues),
 tr AS (SELECT video_id, CASE WHEN k = 1 THEN id + 1000 ELSE id END AS id, CASE WHEN k = 2 THEN start + 0.5 ELSE start END AS start, "end",
-  CASE WHEN k = 3 THEN '' WHEN k = 4 THEN substr(text, 1, 5) || '。。' ELSE substr(text, 1, 30) END AS translation FROM (SELECT *, (video_id * 7 + id) % 11 AS k FROM src) WHERE k <> 0)
+  CASE WHEN k = 3 THEN '' WHEN k = 4 THEN text || '。。' ELSE text END AS translation FROM (SELECT *, (video_id * 7 + id) % 11 AS k FROM src) WHERE k <> 0)
 """
