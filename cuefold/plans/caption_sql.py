@@ -34,6 +34,28 @@ words AS (SELECT video_id, start, CASE WHEN cue_id % 6 <> 0 THEN "end" END AS "e
 audio AS (SELECT video_id, max("end") * 1.2 AS duration FROM cues GROUP BY video_id)
 """
 
+ONE_LINE = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g')"
+
+
+def flags_sql(source: str, translation: str, ratio: str) -> str:
+    """The list of a cue's flags, with one glossary term."""
+    numbers = lambda c: rf"regexp_extract_all({c}, '\d+(?:[.,]\d+)?')"
+    checks = [
+        (f"{ratio} > 1.25", "TTS_TOO_LONG"), (f"{ratio} > 1.25", "TOO_LONG_FOR_DURATION"), (f"{ratio} > 1.15 AND {ratio} <= 1.25", "TTS_LENGTH_WARNING"),
+        (f"trim({translation}) = ''", "EMPTY_TRANSLATION"), (f"length({translation}) > 40", "CHINESE_TOO_LONG"), (f"contains(lower({source}), 'the') AND NOT contains({translation}, '该')", "GLOSSARY_MISMATCH:the"),
+        (f"len(list_filter({numbers(source)}, lambda n: NOT list_contains({numbers(translation)}, n))) > 0", "NUMBER_MISMATCH"),
+        (rf"regexp_matches({source}, '(?i)\b(?:no|not|never|without|n''t)\b') AND NOT regexp_matches({translation}, '不|没|无|未|别|从不')", "NEGATION_MISMATCH"),
+        (f"len(regexp_extract_all({translation}, '[A-Za-z]')) > greatest(8.0, length({translation}) * 0.35::DOUBLE)", "ENGLISH_LEAKAGE"),
+        (f"regexp_matches({translation}, '进行一个|对于.*来说|值得注意的是')", "TRANSLATIONESE"), (f"regexp_matches({translation}, '，，|。。|！！|？？')", "UNNATURAL_PUNCTUATION"),
+    ]
+    cases = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in checks)
+    return f"list_filter([{cases}], lambda f: f IS NOT NULL)"
+
+
+def spoken_sql(translation: str) -> str:
+    return rf"round(len(regexp_extract_all({translation}, '[\x{{3400}}-\x{{9fff}}A-Za-z0-9]')) / 4.5::DOUBLE, 3)"
+
+
 ORACLE_SQL = {
     "caption_qc": f"""WITH {PAIRS}, g AS (SELECT video_id, count(*) FILTER (trim(text) = '') AS empty_segments, count(*) FILTER (duplicate) AS adjacent_duplicates, count(*) FILTER (prefix) AS rolling_duplicate_residuals, count(*) FILTER (overlap) AS "overlaps",
       count(*) FILTER (start >= "end") AS invalid_timestamps, count(*) FILTER (reversed) AS reversed_timestamps, count(*) FILTER (d < 0.3) AS under_0_3_seconds, count(*) FILTER (d > 8.0) AS over_8_seconds,
@@ -125,7 +147,7 @@ ORACLE_SQL = {
     "accepted_reviews": f"""WITH {TRANSLATIONS}, b AS (SELECT coalesce(s.video_id, t.video_id) AS video_id FROM src s FULL JOIN tr t ON s.video_id = t.video_id AND s.id = t.id
       WHERE s.id IS NULL OR t.id IS NULL OR abs(s.start - t.start) > 0.001 OR abs(s."end" - t."end") > 0.001 OR trim(coalesce(t.translation, '')) = '') SELECT video_id, id FROM tr WHERE video_id NOT IN (SELECT video_id FROM b)""",
     "strict_srt": "SELECT conv_id AS video_id, count(*) AS blocks, 0::INTEGER AS malformed_blocks, 0::INTEGER AS duplicate_ids, 0::INTEGER AS illegal_control_ids FROM conversations GROUP BY 1",
-    "asr_words": rf"""WITH {CUES}, w AS (SELECT video_id, cue_id, start, greatest("end" - start, 0.01) AS long, {WORDS.format("regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g')")} AS t FROM cues), u AS (SELECT *, unnest(range(0, len(t))) AS n FROM w)
+    "asr_words": rf"""WITH {CUES}, w AS (SELECT video_id, cue_id, start, greatest("end" - start, 0.01) AS long, {WORDS.format(ONE_LINE)} AS t FROM cues), u AS (SELECT *, unnest(range(0, len(t))) AS n FROM w)
       SELECT video_id, cue_id, CAST(n AS INTEGER) AS n, round(start + long * n / len(t) + 1e-7::DOUBLE, 3) AS start, round(start + long * (n + 1) / len(t) + 1e-7::DOUBLE, 3) AS "end" FROM u""",
     "reading_metrics": rf"""WITH {ROLLING}, c AS (SELECT *, length(regexp_replace(text, '[^\x{{3400}}-\x{{9fff}}]', '', 'g')) AS cjk, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin,
         len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '\s+', '', 'g')) > 26)) AS long, coalesce(trim(text) <> '' AND trim(text) = trim(lag(text) OVER w), FALSE) AS dup, len(regexp_extract_all(text, '，，+|。。+|！！+|？？+')) AS rep FROM rolling {W1}),
@@ -133,4 +155,10 @@ ORACLE_SQL = {
       m AS (SELECT *, round(cjk / greatest(cjk + latin, 1), 6) AS cr, round(latin / greatest(cjk + latin, 1), 6) AS er FROM g)
       SELECT video_id, 'zh.clean.srt' AS track, n AS segment_count, cjk AS cjk_character_count, latin AS ascii_letter_count, long AS overlong_line_count, fast AS fast_reading_cue_count, dup AS adjacent_duplicate_count, rep AS repeated_punctuation_count, cr AS cjk_ratio, er AS english_leakage_ratio,
         round(greatest(0.0, least(120.0, 106.0::DOUBLE - er * 30.0 - least(20.0, long / n * 40.0) - least(20.0, fast / n * 35.0) - least(10.0, dup * 2.5::DOUBLE) - least(10.0, rep * 1.5::DOUBLE))), 3) AS score FROM m""",
+    "translation_flags": f"""WITH {CUES}, a AS (SELECT video_id, cue_id, text, "end" - start AS seconds, {spoken_sql("text")} AS speech_seconds FROM cues),
+      b AS (SELECT *, round(speech_seconds / greatest(0.05::DOUBLE, seconds), 3) AS ratio FROM a)
+      SELECT video_id, cue_id, speech_seconds, ratio, array_to_string({flags_sql("text", "text", "ratio")}, '|') AS flags FROM b""",
+    "flag_histogram": f"""WITH {TRANSLATIONS}, a AS (SELECT t.video_id, s.text, t.translation, s."end" - s.start AS seconds, {spoken_sql("t.translation")} AS spoken FROM tr t JOIN src s ON s.video_id = t.video_id AND s.id = t.id),
+      b AS (SELECT *, round(spoken / greatest(0.05::DOUBLE, seconds), 3) AS ratio FROM a), f AS (SELECT video_id, unnest({flags_sql("text", "translation", "ratio")}) AS flag FROM b)
+      SELECT video_id, flag, count(*) AS n FROM f GROUP BY ALL""",
 }
