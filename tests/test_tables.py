@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cuefold.functions import logs, udfs
 from cuefold.operators import tasks
 from cuefold.sources import manifests
+from cuefold.streaming import streams
 
 
 def test_manifests_of_all_stages_join_by_task(spark):
@@ -37,3 +38,14 @@ def test_a_detector_that_is_passed_in(spark):
     rows = spark.createDataFrame(pd.DataFrame({"i": [0, 1, 2], "t": ["中文", "words", ""]}))
     assert [r[0] for r in rows.orderBy("i").select(detect(F.col("t"))).collect()] == ["zh", "en", "en"]
     assert {r[0] for r in rows.select(udfs.detect_language()(F.col("t"))).collect()} == {"unknown"}
+
+
+def test_job_states_survive_a_fresh_checkpoint(spark, tmp_path):
+    path, put = str(tmp_path / "states"), streams.upsert_states(str(tmp_path / "states"))
+    batch = lambda *rows: spark.createDataFrame(rows, "id int, status string, updated_at int")
+    for number, rows in enumerate([[(1, "running", 1)], [(1, "done", 2), (2, "queued", 2)], [(3, "running", 3)]]):
+        put(batch(*rows), number)
+    put(batch((2, "done", 9)), 0)  # a new checkpoint counts its batches from 0 again
+    put(batch((2, "done", 9)), 0)
+    assert {tuple(r) for r in streams.read_states(spark, path).collect()} == {(1, "done"), (2, "done"), (3, "queued")}
+    assert len(list((tmp_path / "states").glob("v=*"))) == 2
