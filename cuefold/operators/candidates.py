@@ -170,7 +170,7 @@ def build(videos: DataFrame, hits: DataFrame, source_topics: DataFrame, categori
     """
     empty = F.array().cast("array<string>")
     base = videos.join(hit_rollup(hits), "video_id", "left").join(source_topics, "video_id", "left")
-    base = base.join(F.broadcast(categories.select(F.col("category_id").alias("__cat"), F.col("title").alias("__category"))), F.col("snippet.categoryId") == F.col("__cat"), "left")
+    base = base.join(categories.select(F.col("category_id").alias("__cat"), F.col("title").alias("__category")), F.col("snippet.categoryId") == F.col("__cat"), "left")
     title, channel = F.trim(T.unescape(F.coalesce("snippet.title", F.lit("")))), F.trim(T.unescape(F.coalesce("snippet.channelTitle", F.lit(""))))
     text = T.normalized(F.concat_ws(" ", title, F.coalesce("snippet.description", F.lit(""))))
     published = F.try_to_timestamp(F.col("snippet.publishedAt"))

@@ -235,7 +235,7 @@ def publish_rows(tasks: DataFrame, recommendations: DataFrame, categories: DataF
 
     recommendations: (task, title_zh, tags, tid, reason, status); categories: (tid, name, parent_name), a dimension of about a hundred rows.
     """
-    cats = F.broadcast(categories.select(F.col("tid").alias("__tid"), F.col("name").alias("category_name"), F.concat_ws(" / ", "parent_name", "name").alias("category_path")))
+    cats = categories.select(F.col("tid").alias("__tid"), F.col("name").alias("category_name"), F.concat_ws(" / ", "parent_name", "name").alias("category_path"))
     spare = F.broadcast(categories.where(F.col("tid") == fallback_tid).select(F.lit(1).alias("__one"), F.col("name").alias("__name"), F.concat_ws(" / ", "parent_name", "name").alias("__path")))
     df = tasks.join(recommendations, "task", "left").withColumn("wanted", F.coalesce(F.nullif("tid", F.lit(0)), F.lit(default_tid or fallback_tid)))
     df = df.join(cats, F.col("wanted") == F.col("__tid"), "left").withColumn("__one", F.lit(1)).join(spare, "__one", "left")
@@ -260,7 +260,7 @@ def metadata_prompts(tasks: DataFrame, samples: DataFrame, categories: DataFrame
 
 def recommended(payloads: DataFrame, tasks: DataFrame, categories: DataFrame, fallback_tid: int) -> DataFrame:
     """One row a video: the checked recommendation, or the fallback record with the reason why. payloads: (video_id, payload); tasks: (video_id, title, tags)."""
-    known = F.broadcast(categories.select(F.col("tid").alias("__tid"), "name", "parent_name"))
+    known = categories.select(F.col("tid").alias("__tid"), "name", "parent_name")
     spare = F.broadcast(categories.where(F.col("tid") == fallback_tid).select(F.lit(1).alias("__one"), F.col("name").alias("__name"), F.col("parent_name").alias("__parent")))
     df = tasks.join(payloads, "video_id", "left").withColumn("__want", F.get_json_object("payload", "$.tid").try_cast("int"))
     df = df.join(known, F.col("__want") == F.col("__tid"), "left").withColumn("__one", F.lit(1)).join(spare, "__one", "left")

@@ -33,7 +33,7 @@ def parse_hits(packed: DataFrame) -> DataFrame:
 
 def feed_topics(hits: DataFrame, topics: DataFrame) -> DataFrame:
     """(video_id, topics): topics of the feeds that a video stands in, by the dimension (feed, topic)."""
-    joined = hits.where("kind = 'popular'").join(F.broadcast(topics), "feed")
+    joined = hits.where("kind = 'popular'").join(topics, "feed")
     return joined.groupBy("video_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
 
 
