@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.llm.common import OWN, small, text_or_empty
+from cuefold.llm.common import OWN, small, staged, text_or_empty
 
 #: A mean above this is the sum of so many equal smaller means: exp(-mean) stays far from underflow and the inversion short.
 PART = 16.0
+#: Up to so many sources, of about 600 bytes each, are broadcast.
+SOURCES = 20_000
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -17,22 +19,30 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def poisson_inverse(u: Column, mean: Column) -> Column:
-    """The least k whose Poisson distribution function exceeds u. Means up to PART: past 128 terms the function is 1 in doubles."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"))
+def poisson_table(mean: Column) -> Column:
+    """The values of the Poisson distribution function from 0 on, as far as they still grow in doubles. Means up to PART: past 128 terms they do not."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * mean / i
-        return F.when(u < acc["cdf"], acc).otherwise(F.struct(i.alias("k"), p.alias("p"), (acc["cdf"] + p).alias("cdf")))
+        more = F.element_at(acc["cdf"], -1) + p
+        grows = more > F.element_at(acc["cdf"], -1)
+        return F.struct(p.alias("p"), F.when(grows, F.concat(acc["cdf"], F.array(more))).otherwise(acc["cdf"]).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, step, lambda acc: acc["cdf"])
 
 
-def poisson_count(seed: int, key: Column, mean: Column) -> Column:
-    """A Poisson count for each key, by inverting hash-seeded uniforms; large means are summed from independent equal parts."""
-    parts = F.greatest(F.ceil(mean / PART).cast("int"), F.lit(1))
-    one = lambda j: poisson_inverse(uniform(seed, key, j), mean / parts)
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + one(j))).otherwise(F.lit(0))
+def poisson_parts(mean: Column) -> Column:
+    return F.greatest(F.ceil(mean / PART).cast("int"), F.lit(1))
+
+
+def poisson_count(seed: int, key: Column, mean: Column, table: Column | None = None) -> Column:
+    """A Poisson count for each key, by inverting hash-seeded uniforms: the least k whose distribution function exceeds each; large means are summed from independent
+    equal parts, and `table` is the distribution function of one part."""
+    table = poisson_table(mean / poisson_parts(mean)) if table is None else table
+    drawn = F.transform(F.sequence(F.lit(1), poisson_parts(mean)), lambda j: uniform(seed, key, j))
+    counts = F.transform(drawn, lambda u: F.size(F.filter(table, lambda c: c <= u)))
+    return F.when(mean > 0, F.aggregate(counts, F.lit(0), lambda acc, k: acc + k)).otherwise(F.lit(0))
 
 
 def rates(docs: DataFrame, targets: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
@@ -64,9 +74,11 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, temperature: float =
     only below a counted number of sources. Rows of one source stay where they are until the shuffle, which goes by a hash of doc_id and
     copy and so splits any source.
     """
-    by_source = small(rates(docs, targets, temperature, epochs).select(F.col("source").alias(f"{OWN}source"), F.col("rate").alias(f"{OWN}rate")))
+    mean = F.col("rate") / poisson_parts(F.col("rate"))
+    found = rates(docs, targets, temperature, epochs).select(F.col("source").alias(f"{OWN}source"), F.col("rate").alias(f"{OWN}rate"), poisson_table(mean).alias(f"{OWN}table"))
+    by_source = small(staged(found, "rates"), SOURCES)
     joined = docs.join(by_source, docs["source"].cast("string").eqNullSafe(by_source[f"{OWN}source"])).drop(f"{OWN}source")
-    counted = joined.withColumn(f"{OWN}copies", poisson_count(seed, F.col("doc_id"), F.col(f"{OWN}rate"))).where(F.col(f"{OWN}copies") > 0)
+    counted = joined.withColumn(f"{OWN}copies", poisson_count(seed, F.col("doc_id"), F.col(f"{OWN}rate"), F.col(f"{OWN}table"))).where(F.col(f"{OWN}copies") > 0).drop(f"{OWN}table")
     copies = counted.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}copies"))))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(f"{OWN}copy"))), 1, 15), 16, 10).cast("long")
     return copies.withColumn(f"{OWN}order", order).repartition(F.col(f"{OWN}order")).sortWithinPartitions(f"{OWN}order")
