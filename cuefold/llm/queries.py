@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuefold.llm import decontaminate, exact_dedup, mixing, quality, secret_scan, sharding, simhash, token_output, toxicity, warc
+from cuefold.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash, token_output, toxicity, warc
 from cuefold.llm.common import OWN, table
 
 
@@ -51,5 +51,15 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_decontamination, op4_quality, op5_toxicity, op6_secrets, op7_warc, op8_exact_dedup, op9_sharding, op10_token_output)}
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_mixing, op3_decontamination, op4_quality, op5_toxicity, op6_secrets, op7_warc, op8_exact_dedup, op9_sharding,
+        op10_token_output, op11_line_dedup,
+    )
+}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
