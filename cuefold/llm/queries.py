@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuefold.llm import alignment, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash, token_output, toxicity, warc
+from cuefold.llm import alignment, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash, spelling, token_output, toxicity, warc
 from cuefold.llm.common import OWN, table
 
 
@@ -55,6 +55,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_mixing, op3_decontamination, op4_quality, op5_toxicity, op6_secrets, op7_warc, op8_exact_dedup, op9_sharding,
-        op10_token_output, op11_line_dedup, op13_alignment,
+        op10_token_output, op11_line_dedup, op12_spelling, op13_alignment,
     )
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {
+    "op2_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_line_dedup": line_dedup.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+}
