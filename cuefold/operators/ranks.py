@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,7 +23,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/cuefold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes the tables behind what `staged` returned, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def same(left: str, right: str, names: list[str]) -> Column:
+    """Equality of two aliases' columns, null like null; true without any."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names], F.lit(True))
 
 
 def numbered(df: DataFrame, name: str, order: list[str | Column]) -> DataFrame:
@@ -32,3 +48,18 @@ def numbered(df: DataFrame, name: str, order: list[str | Column]) -> DataFrame:
     before = F.expr("transform(all, (x, i) -> struct(x._part AS _part, aggregate(slice(all, 1, i), 0L, (s, y) -> s + y.count) AS _before))")
     offsets = sizes.select(F.explode(before).alias("p")).select("p.*")
     return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def numbered_within(df: DataFrame, name: str, within: list[str], order: list[str | Column]) -> DataFrame:
+    """`df` with the integer column `name`, 1 for the first row of each group of `within` by `order`.
+
+    Rows are dealt out by range of group and order, so a group of any size is spread over as many partitions as its rows need; what a
+    group has in the partitions before is summed up from counts, one for each partition and group in it.
+    """
+    dealt = staged(df.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    local = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_part", *within).orderBy(*order)))
+    sizes = dealt.groupBy("_part", *within).count()
+    before = F.sum("count").over(W.partitionBy(*within).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
+    both = local.alias("l").join(offsets.alias("r"), (F.col("l._part") == F.col("r._part")) & same("l", "r", within))
+    return both.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("l._at") + F.col("r._before")).cast("int").alias(name))

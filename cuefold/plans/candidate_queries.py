@@ -98,8 +98,10 @@ def title_pairs_ratio(spark, d):
 
 
 def event_groups(spark, d):
-    rows = V.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "source", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), (F.col("n_chars") % 97).cast("double").alias("final_score"))
-    return clustering.leader_clusters(rows, ["the", "of", "and"], 0.65, 0.78, ["source"]).select("video_id", "source", "semantic_duplicate_group", "event_duplicate_penalty", "final_score")
+    """The events of each day over all sources, of the videos that have a day."""
+    v = V.videos(spark, d)
+    rows = v.select("video_id", F.substring("snippet.publishedAt", 1, 10).alias("day"), F.col("snippet.title").alias("title"), (F.length("snippet.description") % 97).cast("double").alias("final_score"))
+    return clustering.leader_clusters(rows, ["the", "of", "and"], 0.65, 0.78, ["day"]).select("video_id", "day", "semantic_duplicate_group", "event_duplicate_penalty", "final_score")
 
 
 def ranked_candidates(spark, d):

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from cuefold.operators import clustering, selection, tasks
+from cuefold.operators import clustering, near_titles, selection, tasks
 from cuefold.plans.candidate_queries import SETTINGS
 from cuefold.plans.settings import CandidateSettings
 from cuefold.sources import manifests, sinks, videos
@@ -36,8 +36,29 @@ def test_leaders_are_the_greedy_ones(spark, ratio):
     df = spark.createDataFrame(rows, "video_id string, title string, final_score double")
     got = {r["video_id"]: r["semantic_duplicate_group"] for r in clustering.leader_clusters(df, ["the", "new"], 0.65, ratio).collect()}
     assert got == want
-    apart = clustering.leader_clusters(df.withColumn("day", F.lit("d")), ["the", "new"], 0.65, ratio, ["day"], rounds=1)  # the rest is finished by group
-    assert {r["video_id"]: r["semantic_duplicate_group"] for r in apart.collect()} == want
+    days = df.withColumn("day", F.lit(None).cast("string")).unionByName(df.withColumn("day", F.lit("d")))
+    for limits in ({"rounds": 1, "stream": 1}, {"rounds": 20, "stream": 2}, {}):  # rounds, then one pass; rounds alone; one pass alone
+        apart = clustering.leader_clusters(days, ["the", "new"], 0.65, ratio, ["day"], **limits).collect()
+        for day in (None, "d"):
+            assert {r["video_id"]: r["semantic_duplicate_group"] for r in apart if r["day"] == day} == want
+        assert len(apart) == 2 * len(rows)
+
+
+def test_penalty_by_place(spark):
+    rows = [(f"v{i}", "one title told again", float(50 - i % 7)) for i in range(300)] + [("w", "quite another thing", 3.0), ("x", None, 2.0), ("y", "", 2.0)]
+    got = clustering.leader_clusters(spark.createDataFrame(rows, "video_id string, title string, final_score double"), []).collect()
+    first = sorted(rows[:300], key=lambda r: (-r[2], r[0]))
+    want = {r[0]: round(max(0.0, r[2] - 3.0 * k), 3) for k, r in enumerate(first)} | {"w": 3.0, "x": 2.0, "y": 0.0}
+    assert {r["video_id"]: r["final_score"] for r in got} == want
+
+
+def test_ranks_within_groups(spark):
+    rows = spark.range(5_000).selectExpr("id AS video_id", "if(id % 3 > 0, 'a', if(id % 7 = 0, null, 'b')) AS g", "cast(id * 7919 % 613 AS double) AS final_score").repartition(5)
+    got = selection.by_score(rows, ["g"]).collect()
+    assert len(got) == 5_000
+    for g in ("a", "b", None):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["final_score"], r["video_id"]))
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and own
 
 
 def test_title_pairs_against_all_pairs(spark):
@@ -54,6 +75,24 @@ def test_title_pairs_against_all_pairs(spark):
     rows = spark.createDataFrame([(r["p_type"], f"{r['p_name']} {r['p_brand']}") for r in parts], "p_type string, title string")
     got = {(r["p_type"], r["a"], r["b"]) for r in clustering.similar_titles(rows, ["the", "new"], 0.65, 0.78, ["p_type"]).collect()}
     assert got == want and by_ratio > 50
+    few = clustering.similar_titles(rows, ["the", "new"], 0.65, 0.78, ["p_type"], tile=60).collect()  # a few titles a tile
+    assert {(r["p_type"], r["a"], r["b"]) for r in few} == want and len(few) == len(want)
+
+
+def test_bounds_lose_no_pair():
+    """Titles of any script and length, near each other by small changes, against all pairs."""
+    rng = random.Random(4)
+    keys = {"".join(rng.choice("abcde é日本") for _ in range(rng.choice([1, 3, 30, 64, 65, 130]))) for _ in range(60)}
+    for k in list(keys):
+        c = list(k)
+        for _ in range(rng.randrange(1, 1 + max(1, len(c) // 6))):
+            c[rng.randrange(len(c))] = rng.choice("xyz 語")
+        keys.add("".join(c))
+    keys = sorted(keys) + ["z" * 300 + "q", "q" + "z" * 300]
+    hit = lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.78
+    want = {(a, b, hit(a, b), hit(b, a)) for a, b in itertools.combinations(sorted(keys), 2) if hit(a, b) or hit(b, a)}
+    assert set(near_titles.alike(keys, None, 0.78)) == want and len(want) > 30
+    assert set(near_titles.alike(keys[::2], keys[1::2], 0.78)) == {x for x in want if (x[0] in keys[::2]) != (x[1] in keys[::2])}
 
 
 def test_ranks_over_the_whole_table(spark):
