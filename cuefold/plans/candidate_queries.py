@@ -10,6 +10,7 @@ from cuefold.functions import text as T
 from cuefold.functions import translation as R
 from cuefold.operators import candidates as C
 from cuefold.operators import clustering, selection, tasks
+from cuefold.operators.ranks import staged
 from cuefold.plans import views as V
 from cuefold.plans.settings import CandidateSettings
 from cuefold.sources import manifests, sinks
@@ -30,10 +31,10 @@ PUBLISH_CATEGORIES = [(1, "Alpha", "Top"), (2, "Beta", "Top"), (3, "Gamma", "Sid
 
 
 def _built(spark, d):
-    end = V.table(spark, d, "events").agg(F.max("ts")).first()[0]  # one value
+    end = V.table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("window_end"))  # one row
     cats = spark.createDataFrame(CATEGORIES, "category_id string, title string")
     topics = S.feed_topics(V.hits(spark, d), spark.createDataFrame([("feed0", "alpha"), ("feed1", "beta")], "feed string, topic string"))
-    return C.build(V.videos(spark, d), V.hits(spark, d), topics, cats, F.lit(end).cast("timestamp"), SETTINGS)
+    return C.build(V.videos(spark, d).join(F.broadcast(end)), V.hits(spark, d), topics, cats, F.col("window_end"), SETTINGS)
 
 
 def candidate_scores(spark, d):
@@ -118,13 +119,23 @@ def topic_quota(spark, d):
     return selection.topic_quota(_selectable(spark, d), quotas, ["region"]).select("video_id", "region", "primary_topic", "topic_rank")
 
 
+def _clustered(spark, d):
+    """Candidates of three regions with the events of each region and day, and the scores that those lower."""
+    b = _built(spark, d).where("primary_topic <> 'other'").withColumns({"region": F.concat(F.lit("r"), F.col("video_id") % 3), "day": F.to_date("published_at").cast("string")})
+    return clustering.leader_clusters(staged(b, "candidates"), SETTINGS.event_similarity["stop_words"], 0.65, 0.78, ["region", "day"])
+
+
 def greedy_selection(spark, d):
-    return selection.greedy_select(_selectable(spark, d), SETTINGS, ["region"])
+    return selection.greedy_select(_clustered(spark, d), SETTINGS, ["region", "day"], 12)
+
+
+def selection_counts(spark, d):
+    return selection.select(_clustered(spark, d), SETTINGS, ["region", "day"], 12)[1]
 
 
 def topic_funnel(spark, d):
-    b = _selectable(spark, d)
-    return C.topic_funnel(b, selection.greedy_select(b, SETTINGS, ["region"]), SETTINGS)
+    b = staged(_clustered(spark, d), "candidates")
+    return C.topic_funnel(b, selection.greedy_select(b, SETTINGS, ["region", "day"], 12), SETTINGS)
 
 
 def query_plan(spark, d):
@@ -369,7 +380,7 @@ def review_sheet(spark, d):
 
 
 NAMES = (
-    "candidate_scores rejection_counts hit_rollup discovery_counts found_both_ways merged_resources parsed_hits feed_topics wildcard_pool rights_gate requested_rows title_pairs title_pairs_ratio event_groups ranked_candidates topic_quota greedy_selection topic_funnel query_plan "
+    "candidate_scores rejection_counts hit_rollup discovery_counts found_both_ways merged_resources parsed_hits feed_topics wildcard_pool rights_gate requested_rows title_pairs title_pairs_ratio event_groups ranked_candidates topic_quota greedy_selection selection_counts topic_funnel query_plan "
     "stage_states download_status active_jobs dashboard batch_rollup latest_jobs next_queued latest_state log_storage completeness first_existing translation_ready auto_captions unique_source last_errors checkpoint_match usage_cost parsed_responses candidate_recovery "
     "publish_rows publish_violations recommendations metadata_prompts tags_and_cuts translation_flags time_helpers day_windows snapshot_dates video_links redacted_logs error_classes fingerprints candidate_links layout_sizes probe_facts render_qc review_sheet"
 ).split()

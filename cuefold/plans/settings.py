@@ -6,6 +6,9 @@ import json
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+# Fixed value: searches that a day allows.
+DAILY_CALLS = 100
+
 
 @dataclass(frozen=True)
 class CandidateSettings:
@@ -26,6 +29,8 @@ class CandidateSettings:
     exclude_shorts: bool = True
     shorts_max_duration_seconds: int = 180
     search_daily_budget: int = 60
+    search_reserve_calls: int = 20
+    min_search_share: float = 0.8
     search_core_query_groups_per_day: int = 24
     search_modes: dict = field(default_factory=lambda: {"fresh": {}, "growth": {}})
     topic_quotas: dict = field(default_factory=dict)
@@ -71,3 +76,18 @@ def load(path: str | Path) -> CandidateSettings:
     given = json.loads(Path(path).read_text(encoding="utf-8-sig"))
     names = {f.name for f in fields(CandidateSettings)}
     return CandidateSettings(**{k: v for k, v in given.items() if k in names})
+
+
+def problems(s: CandidateSettings) -> list[str]:
+    """What makes settings unusable, by name; none if they can be used. `DAILY_CALLS` is the limit of the search service."""
+    planned = s.search_core_query_groups_per_day * len(s.search_modes)
+    queries = sum(map(len, s.core_queries.values())) + sum(map(int, s.rotating_queries_per_topic.values()))
+    rules = {
+        "topic_quotas": s.candidate_limit >= 1 and sum(map(int, s.topic_quotas.values())) == s.candidate_limit,
+        "topic_max_counts": all(int(s.topic_max_counts.get(t, -1)) >= int(n) for t, n in s.topic_quotas.items()),
+        "final_score_weights": abs(sum(map(float, s.final_score_weights.values())) - 1.0) <= 0.0001,
+        "max_per_channel": s.max_per_channel >= 1, "max_per_event": s.max_per_event >= 1, "max_per_query_group": s.max_per_query_group >= 1,
+        "search_reserve_calls": s.search_daily_budget >= 1 and s.search_reserve_calls >= 0 and s.search_daily_budget + s.search_reserve_calls <= DAILY_CALLS,
+        "search_daily_budget": planned < s.search_daily_budget, "search_core_query_groups_per_day": queries <= s.search_core_query_groups_per_day,
+    }
+    return [name for name, fine in rules.items() if not fine]

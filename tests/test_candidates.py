@@ -1,13 +1,16 @@
 import itertools
 import random
+from collections import Counter
+from dataclasses import replace
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuefold.operators import clustering, near_titles, selection, tasks
 from cuefold.plans.candidate_queries import SETTINGS
-from cuefold.plans.settings import CandidateSettings
+from cuefold.plans.settings import CandidateSettings, problems
 from cuefold.sources import manifests, sinks, videos
 from cuefold.streaming import streams
 
@@ -129,6 +132,134 @@ def test_caps(spark):
     assert chosen(spark, [row(0, groups=("a", "b"))])[0]["contributing_query_group"] == "a"
 
 
+class Plain:
+    """The selection as a list of rounds over one group's rows in order."""
+
+    def __init__(self, rows, s, limit):
+        self.s, self.limit, self.out, self.no = s, limit, {}, Counter()
+        rows = sorted(rows, key=lambda r: (-r["final_score"], r["video_id"]))
+        rows = [r for r in rows if r["primary_topic"] in s.topic_max_counts]
+        self.wild = min(int(s.topic_quotas.get("wildcard_popular", 0)), s.popular_target)
+        regular = limit - self.wild
+        for t, quota in s.topic_quotas.items():
+            if t != "wildcard_popular":
+                own = [r for r in rows if r["primary_topic"] == t]
+                self.round(sorted(own, key=lambda r: not r["search_source_details"]), regular, int(quota), lambda r: "topic_quota")
+        growth = lambda r: "multi_query_match" if len(r["search_source_details"]) > 1 else "high_interest" if r["interest_score"] >= 12 else "high_growth" if r["growth_score"] >= 60 else "global_backfill"
+        self.round([r for r in rows if r["search_source_details"] and r["primary_topic"] != "wildcard_popular"], regular, limit, growth)
+        self.round([r for r in rows if r["popular_source_details"] and r["interest_score"] >= s.wildcard_interest_min], limit, self.wild, lambda r: "wildcard_popular", "wildcard_popular")
+        self.round(rows, limit, limit, lambda r: "global_backfill")
+
+    def round(self, rows, in_all, own, reason, topic=None):
+        before = len(self.out)
+        for r in rows:
+            if len(self.out) >= in_all or len(self.out) - before >= own:
+                return
+            if r["video_id"] not in self.out:
+                self.offer(r, reason(r), topic or r["primary_topic"])
+
+    def offer(self, r, reason, topic):
+        of = lambda f: sum(map(f, self.out.values()))
+        s, groups = self.s, list(dict.fromkeys(d["query_group"] for d in r["search_source_details"]))
+        group = next((g for g in groups if of(lambda x: x[4] == g) < s.max_per_query_group), None)
+        alone = bool(r["popular_source_details"]) and not groups
+        tests = [
+            ("topic", of(lambda x: x[3] == topic) < s.topic_max_counts[topic]), ("wildcard", topic != "wildcard_popular" or of(lambda x: x[3] == topic) < self.wild),
+            ("channel", of(lambda x: x[0]["channel_title"].lower() == r["channel_title"].lower()) < s.max_per_channel),
+            ("event", of(lambda x: x[0]["semantic_duplicate_group"] == r["semantic_duplicate_group"]) < s.max_per_event), ("query", group is not None or not groups), ("popular", not alone or of(lambda x: x[5]) < s.popular_max),
+        ]
+        for name, fine in tests:
+            if not fine:
+                self.no[name] += 1
+                return
+        self.out[r["video_id"]] = (r, r["video_id"], reason, topic, group or "", alone)
+
+
+def hostile(rng, n, day):
+    """Rows of few channels, events and query groups, so that most are refused."""
+    few = rng.choice([2, 5, 40])
+    out = []
+    for i in range(n):
+        groups, popular = [f"g{rng.randrange(few)}" for _ in range(rng.choice([0, 1, 1, 3]))], ["f"] * rng.randrange(2)
+        r = row(i, rng.choice(["alpha", "alpha", "beta", "wildcard_popular", "none"]), f"C{rng.randrange(few)}", f"e{rng.randrange(2 * few)}", groups, popular, float(rng.randrange(9)))
+        out.append((day, *r[1:6], float(rng.randrange(20)), float(rng.randrange(100)), *r[8:]))
+    return out
+
+
+@pytest.mark.parametrize("best", [None, 3])
+def test_selection_against_plain_rounds(spark, best):
+    """With three rows of each pass hardly any group has its certificate; both ways give what whole lists give."""
+    rng = random.Random(7)
+    rows = [r for k in range(24) for r in hostile(rng, rng.choice([1, 6, 40, 150]), f"d{k}")]
+    df = spark.createDataFrame(rows, ROW).repartition(3)
+    refused = Counter()
+    for caps in ({}, {"max_per_channel": 20, "max_per_event": 20, "max_per_query_group": 2, "popular_max": 1}):
+        s = CandidateSettings(topic_quotas={"alpha": 7, "beta": 4, "wildcard_popular": 2}, topic_max_counts={"alpha": 9, "beta": 5, "wildcard_popular": 4}, min_search_share=0.5, **caps)
+        refused.update(compared(df, s, best))
+    assert set(refused) == set(selection.REFUSALS)
+
+
+def compared(df, s, best):
+    """What the caps refused, after each day's rows and counts have been compared."""
+    chosen, counts = selection.select(df, s, ["day"], 13, best)
+    got, told = {}, {r["day"]: r for r in counts.collect()}
+    for r in chosen.collect():
+        got.setdefault(r["day"], {})[r["video_id"]] = (r["rank"], r["selection_reason"], r["selection_topic"], r["contributing_query_group"])
+    by_day = {}
+    for r in df.collect():
+        by_day.setdefault(r["day"], []).append(r)
+    refused = Counter()
+    for day, own in by_day.items():
+        want = Plain(own, s, 13)
+        order = sorted(want.out.values(), key=lambda x: (-x[0]["final_score"], x[1]))
+        assert got.get(day, {}) == {x[1]: (k, *x[2:5]) for k, x in enumerate(order, 1)}
+        if day in told:
+            t = told[day].asDict()
+            assert [t[f"{k}_limit"] for k in selection.REFUSALS] == [want.no[k] for k in selection.REFUSALS]
+            assert (t["selected"], t["selected_with_search"], t["selected_popular_only"]) == (len(order), sum(bool(x[0]["search_source_details"]) for x in order), sum(x[5] for x in order))
+            assert t["search_share_low"] == ((t["selected_with_search"] / t["selected"] if order else 0.0) < 0.5)
+        refused.update(want.no)
+    return refused
+
+
+def test_best_rows_alone_are_shuffled(spark):
+    """A region of any size sends some rows a pass and task."""
+    sizes = []
+    for n in (4_000, 16_000):
+        rows = spark.range(n).selectExpr("'d' AS day", "concat('v', id) AS video_id", "cast(hash(id) AS double) AS final_score", "if(id % 2 = 0, 'alpha', 'beta') AS primary_topic", "concat('c', id) AS channel_title", "concat('e', id) AS semantic_duplicate_group", "1D AS interest_score", "1D AS growth_score", "array(named_struct('query_group', concat('g', id % 50))) AS search_source_details", "array('f') AS popular_source_details", "'low' AS copyright_risk", "'high' AS localization_suitability").coalesce(2)
+        s = CandidateSettings(topic_quotas={"alpha": 3, "beta": 2, "wildcard_popular": 1}, topic_max_counts={"alpha": 4, "beta": 4, "wildcard_popular": 1})
+        offers = selection._offers(rows, s, selection._passes(s, 6), ["day"])
+        place = F.row_number().over(W.partitionBy("day", "step").orderBy(*selection.PLACE[1:]))
+        best = offers.withColumn("place", place).where(F.col("place") <= 96)
+        best.collect()
+        assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+        sizes.append(shuffled_rows(best))
+        assert len(selection.greedy_select(rows, s, ["day"], 6).collect()) == 6
+    assert sizes[0] == sizes[1] <= 2 * 5 * 96
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan that has run have written, by its own counts."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_settings_problems():
+    good = CandidateSettings(candidate_limit=5, topic_quotas={"alpha": 3, "wildcard_popular": 2}, topic_max_counts={"alpha": 3, "wildcard_popular": 2})
+    assert problems(good) == []
+    bad = replace(good, topic_max_counts={"alpha": 1}, search_reserve_calls=50, max_per_event=0, candidate_limit=6, search_core_query_groups_per_day=30)
+    assert problems(bad) == ["topic_quotas", "topic_max_counts", "max_per_event", "search_reserve_calls", "search_daily_budget"]
+
+
 def test_groups_of_days_run_apart(spark):
     rows = [(f"d{i % 3}", *row(i, channel="one")[1:]) for i in range(12)]
     assert len(chosen(spark, rows)) == 6
