@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def discovery(hits: DataFrame, delay: str = "72 hours") -> DataFrame:
-    """A stream of hits (video_id, query_group, mode, ts, ...) with each request's hit on a video once; state is dropped with the watermark."""
+    """A stream of hits (video_id, query_group, mode, ts, ...) with each request's hit on a video once; state is dropped with the watermark. `requests.resumable` has the rules of whole requests."""
     return hits.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["video_id", "query_group", "mode"])
 
 
@@ -32,40 +32,6 @@ def utterances(rows: DataFrame, keys: list[str], pause: float, delay: str = "1 h
     return out.drop("w")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the versions in `path` that were written to their end, ascending."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
-    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-    return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found or [])
-
-
-def upsert_states(path: str):
-    """A foreachBatch function that keeps (id, status, updated_at) of the newest event of each job in `path`; an interrupted `running` counts as queued when read.
-
-    Each batch makes a new version from the last whole one and its own rows, whatever checkpoint it runs under: the newest event of a job
-    stays the same if a batch comes twice. The version before stays for readers; older ones go.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows, done = batch.select("id", "status", "updated_at"), _versions(spark, path)
-        if done:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v={done[-1]}").select("id", "status", "updated_at"))
-        newest = rows.groupBy("id").agg(F.max_by("status", "updated_at").alias("status"), F.max("updated_at").alias("updated_at"))
-        newest.write.mode("overwrite").parquet(f"{path}/v={done[-1] + 1 if done else 0}")
-        for old in done[:-1]:
-            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}")
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-    return run
-
-
-def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """(id, status) of the newest whole version."""
-    last = spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
-    return last.select("id", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")).alias("status"))
-
-
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and gives its rows."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from cuefold.operators import clustering, near_titles, selection, tasks
 from cuefold.plans.candidate_queries import SETTINGS
 from cuefold.plans.settings import CandidateSettings, problems
 from cuefold.sources import manifests, sinks, videos
-from cuefold.streaming import streams
+from cuefold.streaming import job_states, streams
 
 
 def tokens(title):
@@ -370,6 +370,6 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "queued", 1), (1, "running", 2), (2, "done", 1)], "id int, status string, updated_at int")
     events.repartition(1).write.parquet(str(tmp_path / "jobs"))
     path = str(tmp_path / "state")
-    query = spark.readStream.schema(events.schema).parquet(str(tmp_path / "jobs")).writeStream.foreachBatch(streams.upsert_states(path)).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    query = spark.readStream.schema(events.schema).parquet(str(tmp_path / "jobs")).writeStream.foreachBatch(job_states.upsert(path)).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {tuple(r) for r in streams.read_states(spark, path).collect()} == {(1, "queued"), (2, "done")}
+    assert {tuple(r) for r in job_states.read(spark, path).collect()} == {(1, "queued"), (2, "done")}
