@@ -7,18 +7,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def union(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end): the union of each key's intervals, touching ones joined; starts below 0 count as 0, empty intervals go."""
+def _started(rows: DataFrame, keys: list[str], stretch: float) -> DataFrame:
+    """rows with `stretch` and `no`: how many islands of the union have begun in the row's stretch of time up to it; 0 goes on from a stretch before.
+
+    A row begins an island if it starts after the ends of all rows before it. Those in its own stretch are a window there; of the stretches before
+    one row each is known, its last end.
+    """
+    own = [*keys, "stretch"]
+    rows = rows.withColumn("stretch", F.floor(F.col("start") / stretch).cast("bigint"))
+    ends = rows.groupBy(*own).agg(F.max("end").alias("last_end"))
+    carried = ends.select(*own, F.max("last_end").over(W.partitionBy(*keys).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    order = W.partitionBy(*own).orderBy("start", "end")
+    before = F.greatest(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), "carried")
+    found = rows.join(carried, own).withColumn("before", before)
+    begins = F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)
+    return found.withColumn("no", F.sum(begins).over(order))
+
+
+def union(rows: DataFrame, keys: list[str], stretch: float | None = None) -> DataFrame:
+    """(keys, start, end): the union of each key's intervals, touching ones joined; starts below 0 count as 0, empty intervals go.
+
+    By itself a key is one window. With `stretch` (seconds) no task holds more of a key than what starts in one stretch of that length, and one or
+    two rows for each of its stretches: islands are found within stretches, and those that a stretch carries on are joined to the last one
+    before by the seams alone.
+    """
     rows = rows.where(F.col("end") > F.col("start")).select(*keys, F.greatest("start", F.lit(0.0)).alias("start"), F.greatest("end", F.lit(0.0)).alias("end"))
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(before.isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(order)
-    return rows.withColumn("before", before).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    if stretch is None:
+        order = W.partitionBy(*keys).orderBy("start", "end")
+        before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+        island = F.sum(F.when(before.isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(order)
+        return rows.withColumn("before", before).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    own = [*keys, "stretch"]
+    local = _started(rows, keys, stretch).groupBy(*own, "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    local = local.withColumn("last", F.max("no").over(W.partitionBy(*own)) == F.col("no"))
+    # at most two rows a stretch: what goes on from before, and the last island
+    seams = local.where("no = 0 OR last")
+    begun = F.last(F.when(F.col("no") > 0, F.col("start")), ignorenulls=True)
+    seams = seams.withColumn("island", begun.over(W.partitionBy(*keys).orderBy("stretch", "no").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = seams.groupBy(*keys, "island").agg(F.max("end").alias("end")).select(*keys, F.col("island").alias("start"), "end")
+    return local.where("no > 0 AND NOT last").select(*keys, "start", "end").unionByName(joined)
 
 
-def length(rows: DataFrame, keys: list[str], name: str = "seconds") -> DataFrame:
+def length(rows: DataFrame, keys: list[str], name: str = "seconds", stretch: float | None = None) -> DataFrame:
     """(keys, seconds) of the union."""
-    return union(rows, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias(name))
+    return union(rows, keys, stretch).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias(name))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: float | None = 60.0) -> DataFrame:
@@ -37,20 +69,38 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: flo
     return left.join(right, [*keys, "__b"]).where(cross & (F.col("__b") == first)).drop("__b")
 
 
-def intersection_length(left: DataFrame, right: DataFrame, keys: list[str], bucket: float | None = 60.0) -> DataFrame:
+def intersection_length(left: DataFrame, right: DataFrame, keys: list[str], bucket: float | None = 60.0, stretch: float | None = None) -> DataFrame:
     """(keys, seconds) that the unions of both tables have in common; keys without any are left out."""
-    pairs = overlap_join(union(left, keys), union(right, keys), keys, bucket)
+    pairs = overlap_join(union(left, keys, stretch), union(right, keys, stretch), keys, bucket)
     return pairs.groupBy(*keys).agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("seconds"))
 
 
-def longest_gap(speech: DataFrame, cover: DataFrame, keys: list[str], bucket: float | None = 60.0) -> DataFrame:
-    """(keys, seconds): the longest stretch of merged speech in which no merged cover lies; one row a key of speech."""
-    talk = union(speech, keys)
-    parts = overlap_join(talk, union(cover, keys), keys, bucket).select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.greatest("start", "r_start").alias("a"), F.least("end", "r_end").alias("b"))
-    edges = talk.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.col("end").alias("a"), F.col("end").alias("b"))
-    order = W.partitionBy(*keys, "s").orderBy("a", "b")
-    cursor = F.coalesce(F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("s"))
-    return parts.unionByName(edges).withColumn("gap", F.greatest(F.col("a") - cursor, F.lit(0.0))).groupBy(*keys).agg(F.max("gap").alias("seconds"))
+def _after(islands: DataFrame, keys: list[str], stretch: float | None) -> DataFrame:
+    """Islands of a union with `previous`, the end of the one before."""
+    if stretch is None:
+        return islands.withColumn("previous", F.lag("end").over(W.partitionBy(*keys).orderBy("start")))
+    own = [*keys, "stretch"]
+    rows = islands.withColumn("stretch", F.floor(F.col("start") / stretch).cast("bigint"))
+    ends = rows.groupBy(*own).agg(F.max("end").alias("last_end"))
+    carried = ends.select(*own, F.max("last_end").over(W.partitionBy(*keys).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    before = F.coalesce(F.lag("end").over(W.partitionBy(*own).orderBy("start")), "carried")
+    return rows.join(carried, own).withColumn("previous", before).select(*keys, "start", "end", "previous")
+
+
+def longest_gap(speech: DataFrame, cover: DataFrame, keys: list[str], bucket: float | None = 60.0, stretch: float | None = None) -> DataFrame:
+    """(keys, seconds): the longest stretch of merged speech in which no merged cover lies; one row a key of speech.
+
+    Such a stretch lies before a part of the cover, after the cover's part before it or the begin of the speech, or at the end of the speech: both are
+    told of single rows and by maxima.
+    """
+    talk = union(speech, keys, stretch)
+    over = _after(union(cover, keys, stretch), keys, stretch)
+    start = F.greatest("start", "r_start")
+    gap = start - F.greatest("start", F.coalesce("r_previous", "start"))
+    parts = overlap_join(talk, over, keys, bucket).select(*keys, "start", "end", F.least("end", "r_end").alias("b"), gap.alias("gap"))
+    alone = talk.select(*keys, "start", "end", F.col("start").alias("b"), F.lit(0.0).alias("gap"))
+    by_talk = parts.unionByName(alone).groupBy(*keys, "start", "end").agg(F.max("b").alias("b"), F.max("gap").alias("gap"))
+    return by_talk.groupBy(*keys).agg(F.max(F.greatest("gap", F.col("end") - F.col("b"), F.lit(0.0))).alias("seconds"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -107,6 +107,19 @@ def interval_union(spark, d):
     return intervals.union(V.intervals(spark, d), ["video_id"]).groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"))
 
 
+def long_track_union(spark, d):
+    """All events as one track."""
+    rows = V.intervals(spark, d).withColumn("video_id", F.lit(0).cast("bigint"))
+    return intervals.union(rows, ["video_id"], 3600.0).groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"))
+
+
+def long_track_gap(spark, d):
+    """The longest stretch of views, all events as one track, that no other event covers."""
+    sides = (x.withColumn("video_id", F.lit(0).cast("bigint")) for x in _sides(spark, d))
+    out = intervals.longest_gap(*sides, ["video_id"], 3600.0, 3600.0)
+    return out.select("video_id", F.round("seconds", 3).alias("seconds"))
+
+
 def _sides(spark, d):
     s = V.intervals(spark, d)
     return s.where("track = 'view'"), s.where("track <> 'view'")
@@ -328,7 +341,7 @@ def visible_text(spark, d):
 
 NAMES = (
     "caption_qc adjacent_pairs strict_order timeline_summary translation_preflight rolling_increment timed_increment fuzzy_increment word_events cleaning_stats split_long fix_timeline translation_batches prompt_payloads subtitle_sample "
-    "fragments merged_fragments sentences rebuilt_timeline interval_union interval_intersection longest_gap overlap_join best_overlap aligned_translation id_join times_pairs clipped_pairs pair_validation review_import accepted_reviews missing_and_extra "
+    "fragments merged_fragments sentences rebuilt_timeline interval_union interval_intersection longest_gap long_track_union long_track_gap overlap_join best_overlap aligned_translation id_join times_pairs clipped_pairs pair_validation review_import accepted_reviews missing_and_extra "
     "pending_rows low_confidence repeated_runs source_quality source_quality_ratio recogniser_qc speech_intervals score_deductions caption_scores source_decision selection_report track_agreement translation_qc flag_histogram reading_metrics best_chinese "
     "recovery resolved_inputs srt_round_trip vtt_round_trip strict_srt srt_inspection asr_words text_helpers visible_text"
 ).split()

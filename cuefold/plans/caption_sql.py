@@ -162,3 +162,6 @@ ORACLE_SQL = {
       b AS (SELECT *, round(spoken / greatest(0.05::DOUBLE, seconds), 3) AS ratio FROM a), f AS (SELECT video_id, unnest({flags_sql("text", "translation", "ratio")}) AS flag FROM b)
       SELECT video_id, flag, count(*) AS n FROM f GROUP BY ALL""",
 }
+
+#: All events as one track.
+ORACLE_SQL |= {f"long_track_{k}": ORACLE_SQL[name].replace("user_id AS video_id", "0::BIGINT AS video_id") for k, name in (("union", "interval_union"), ("gap", "longest_gap"))}

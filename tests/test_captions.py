@@ -98,9 +98,9 @@ def test_intervals_against_points(spark):
     left, right = (spark.createDataFrame(x, "video_id string, start double, end double") for x in (a, b))
     points = lambda rows, v: {p for k, s, e in rows if k == v for p in range(max(0, int(s)), int(e))}
     total = {r["video_id"]: r["seconds"] for r in intervals.length(left, ["video_id"]).collect()}
-    for bucket in (None, 7.0, 1000.0):
-        both = {r["video_id"]: r["seconds"] for r in intervals.intersection_length(left, right, ["video_id"], bucket).collect()}
-        gaps = {r["video_id"]: r["seconds"] for r in intervals.longest_gap(left, right, ["video_id"], bucket).collect()}
+    for bucket, stretch in ((None, None), (7.0, 10.0), (1000.0, 45.0)):
+        both = {r["video_id"]: r["seconds"] for r in intervals.intersection_length(left, right, ["video_id"], bucket, stretch).collect()}
+        gaps = {r["video_id"]: r["seconds"] for r in intervals.longest_gap(left, right, ["video_id"], bucket, stretch).collect()}
         for v in {k for k, _, _ in a}:
             mine, other = points(a, v), points(b, v)
             assert total[v] == len(mine) and both.get(v, 0) == len(mine & other)
@@ -113,6 +113,34 @@ def test_intervals_against_points(spark):
     assert pairs.count() == pairs.distinct().count() == sum(1 for k, s, e in a for m, x, y in b if k == m and min(e, y) > max(s, x))
 
 
+def test_union_by_stretches(spark):
+    """Intervals over many stretches, touching ones, ones inside others and empty stretches give the islands of the plain union."""
+    rng = random.Random(8)
+    rows = []
+    for v in range(40):
+        span = rng.choice([1, 5, 40, 900])
+        rows += [(f"v{v}", float(s), float(s + rng.choice([0, 1, rng.randrange(1, span + 1)]))) for s in (rng.randrange(-3, 1000) for _ in range(rng.choice([1, 3, 60])))]
+    df = spark.createDataFrame(rows, "video_id string, start double, end double")
+    plain = {}
+    for v, s, e in sorted((v, max(0.0, s), max(0.0, e)) for v, s, e in rows if e > s):
+        own = plain.setdefault(v, [])
+        if own and s <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], e)
+        else:
+            own.append([s, e])
+    want = sorted((v, *x) for v, own in plain.items() for x in own)
+    for stretch in (None, 1.0, 10.0, 333.0, 1e6):
+        assert sorted(map(tuple, intervals.union(df, ["video_id"], stretch).collect())) == want
+
+
+def test_no_task_holds_a_hot_track(spark):
+    df = spark.range(40_000).selectExpr("concat('v', id % 1) AS video_id", "cast(id AS double) AS start", "id + if(id % 10 = 0, 0.5, 1D) AS end")
+    out = intervals.union(df, ["video_id"], 1000.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.split("\n") if "windowspecdefinition" in x]
+    assert out.count() == 4_001 and windows and all("stretch" in x for x in windows)
+
+
 def test_assignment(spark):
     en = spark.createDataFrame([("v", 0, 0.0, 2.0, "a"), ("v", 1, 2.0, 4.0, "b"), ("v", 2, 10.0, 12.0, "c")], CUE)
     zh = spark.createDataFrame([("v", 0, 0.5, 2.5, "甲"), ("v", 1, 1.0, 3.0, "乙"), ("v", 2, 7.5, 8.0, "丙"), ("v", 3, 5.0, 6.0, "丁"), ("w", 0, 0.0, 1.0, "x")], CUE)
