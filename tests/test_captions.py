@@ -91,6 +91,40 @@ def test_folds(spark):
     assert all(b["start"] >= a["end"] for a, b in zip(again, again[1:], strict=False))
 
 
+def long_track(rng, n):
+    """Words with pauses of many lengths, sentence ends, commas, repeats, tags and tiny words, in a few cues each."""
+    words, at = [], 0.0
+    for i in range(n):
+        at += rng.choice([0.0, 0.05, 0.05, 0.3, 0.7, 1.5])
+        last = at + rng.choice([0.05, 0.2, 0.5, 1.2])
+        words.append(("v", i // 7, i % 7, rng.choice(["one", "Two", "<i>three</i>", "four,", "five.", "no!", "a", "und", "so;"]), round(at, 3), round(last, 3)))
+        at = last - rng.choice([0.0, 0.0, 0.1])
+    return words
+
+
+def test_stretches_of_long_tracks(spark):
+    """A long track cut in stretches gives what the fold over the whole track gives, for all four folds, beside a short track."""
+    rng = random.Random(13)
+    rows = long_track(rng, 1_500) + [("w", *r[1:]) for r in long_track(rng, 20)]
+    words = spark.createDataFrame(rows, "video_id string, cue_id int, n int, text string, start double, end double").repartition(3)
+    got = lambda df: sorted(map(str, df.collect()))
+    assert got(folds.segment_sentences(words, long=40)) == got(folds.segment_sentences(words))
+    cues_ = words.groupBy("video_id", "cue_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
+    shifted = cues_.withColumns({"start": F.col("start") + F.floor(F.col("cue_id") / 3), "end": F.col("end") + F.floor(F.col("cue_id") / 3)})
+    for c in (cues_, shifted):
+        assert got(folds.fragments(c, long=20)) == got(folds.fragments(c))
+        assert got(folds.merge_fragments(c, long=20)) == got(folds.merge_fragments(c))
+    seg = folds.segment_sentences(words)
+    late = F.col("start") + F.floor(F.col("cue_id") / 2) * 1.3 - F.col("start")
+    moved = seg.withColumns({k: F.round(F.col(k) + late, 3) for k in ("start", "end", "word_start", "word_end")})
+    media = spark.createDataFrame([("v", 500.0), ("w", 9.0)], "video_id string, duration double")
+    for x in (seg, moved):
+        for durations in (None, media):
+            assert got(folds.rebuild_timeline(x, durations=durations, long=30)) == got(folds.rebuild_timeline(x, durations=durations))
+    cut = folds._cut(words, ["video_id"], ["cue_id", "n"], lambda before, top, after: F.col("start") - before["end"] > 0.6)
+    assert cut.select("video_id", "_stretch").distinct().count() > 200 and cut.where("_stretch IS NULL OR _stretch < 1").count() == 0
+
+
 def test_intervals_against_points(spark):
     rng = random.Random(6)
     a = [(f"v{rng.randrange(5)}", float(s), float(s + rng.randrange(0, 30))) for s in (rng.randrange(-5, 200) for _ in range(120))]
