@@ -61,6 +61,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def least_hashed(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of `df`, those whose xxhash64 of `key` is least. Only hashes below a bound that some more rows than that stay below are
+    sorted, so that the task which takes the first ones reads as many rows at any size."""
+    n = max(1, df.count())
+    below = -(2**63) + min(2**64 - 1, int(2**64 * (2 * most + 1_000) / n))
+    h = F.xxhash64(key)
+    return df.where(h <= F.lit(below)).orderBy(h, key).limit(most)
+
+
 def salted_join(rows: DataFrame, one: DataFrame, key: str, salt: Column, heavy: int = 20_000) -> DataFrame:
     """`rows` left-joined by `key` with `one`, a table of one row for each key, so that no key's rows all meet in one task.
 

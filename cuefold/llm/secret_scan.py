@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.llm.common import drop_staged, staged, text_or_empty
+from cuefold.llm.common import drop_staged, least_hashed, staged, text_or_empty
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HEAD = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
@@ -123,12 +123,12 @@ def labelled(docs: DataFrame, found: DataFrame, samples: int = 20_000, sample_do
     """(label, value, held_out): 1, at most `samples` secret values of the base matches, those of least hash, and a random string made of a fourth of the others; 0, in at most `sample_docs` documents of least hash of doc_id
     the words, and the identifiers made of them, at most twice `samples` of least hash. A fifth of both, by hash, is held out."""
     values = found.select(F.explode(F.concat(*[F.transform(k, lambda s: s["value"]) for k in KINDS[:3]])).alias("value"))
-    random = values.distinct().orderBy(F.xxhash64("value"), "value").limit(samples).select(F.lit(1).alias("label"), "value")
-    ids = docs.select(F.col("doc_id").cast("long").alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
+    random = least_hashed(values.distinct(), "value", samples).select(F.lit(1).alias("label"), "value")
+    ids = least_hashed(docs.select(F.col("doc_id").cast("long").alias("i")).where("i is not null").distinct(), "i", sample_docs)
     chosen = docs.join(F.broadcast(ids), docs["doc_id"].cast("long") == ids["i"], "left_semi")  # at most sample_docs ids
     words, names = _identifiers(text_or_empty())
     names = chosen.select(words.alias("words")).select(F.explode(F.concat(names, F.filter("words", lambda w: F.length(w) >= 4))).alias("value")).where("value is not null")
-    ordinary = names.orderBy(F.xxhash64("value"), "value").limit(2 * samples).select(F.lit(0).alias("label"), "value")
+    ordinary = least_hashed(names, "value", 2 * samples).select(F.lit(0).alias("label"), "value")
     made = ordinary.where(F.pmod(F.xxhash64("value", F.lit(2)), F.lit(4)) == 0).select(F.lit(1).alias("label"), _keys(F.col("value")).alias("value"))
     return random.unionByName(made).unionByName(ordinary).withColumn("held_out", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(5)) == 0)
 
