@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from cuefold.functions.language import LanguageModel
+
 
 @lru_cache(maxsize=100_000)
 def _ratio(a: str, b: str) -> float:
@@ -35,9 +37,11 @@ def html_unescape(text: pd.Series) -> pd.Series:
 
 
 def detect_language(detect=None):
-    """A column function text -> language for `detect` (text -> code); without one every text is `unknown`."""
+    """A column function text -> language for `detect`: a `LanguageModel`, or a function text -> code; without one every text is `unknown`."""
     if detect is None:
         return lambda text: F.lit("unknown")
+    if isinstance(detect, LanguageModel):
+        return detect.column
 
     @F.pandas_udf(StringType())
     def run(text: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuefold.functions import layout, logs, times
+from cuefold.functions import language, layout, logs, times
 from cuefold.functions import publishing as P
 from cuefold.functions import text as T
 from cuefold.functions import translation as R
@@ -30,11 +30,11 @@ CATEGORIES = [("0", "zero"), ("1", "one"), ("2", "two"), ("3", "Music")]
 PUBLISH_CATEGORIES = [(1, "Alpha", "Top"), (2, "Beta", "Top"), (3, "Gamma", "Side")]
 
 
-def _built(spark, d):
+def _built(spark, d, detect=None):
     end = V.table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("window_end"))  # one row
     cats = spark.createDataFrame(CATEGORIES, "category_id string, title string")
     topics = S.feed_topics(V.hits(spark, d), spark.createDataFrame([("feed0", "alpha"), ("feed1", "beta")], "feed string, topic string"))
-    return C.build(V.videos(spark, d).join(F.broadcast(end)), V.hits(spark, d), topics, cats, F.col("window_end"), SETTINGS)
+    return C.build(V.videos(spark, d).join(F.broadcast(end)), V.hits(spark, d), topics, cats, F.col("window_end"), SETTINGS, detect)
 
 
 def candidate_scores(spark, d):
@@ -42,6 +42,19 @@ def candidate_scores(spark, d):
     return _built(spark, d).select(*cols).withColumn("final_score", F.round("final_score", 1))  # sums of doubles differ in their last place
 
 
+def detected_languages(spark, d):
+    """The language of each whole text, by a model of three in four of the labelled rows."""
+    docs = V.table(spark, d, "documents")
+    model = language.train(docs.where("doc_id % 4 <> 0"))
+    return docs.select("doc_id", "lang", model.column(F.col("text")).alias("detected"), (F.col("doc_id") % 4 == 0).alias("held_out"))
+
+
+def detected_candidates(spark, d):
+    """Candidates whose language is told by a model where it is not declared."""
+    model = language.train(V.table(spark, d, "documents").where("doc_id % 4 <> 0"))
+    return _built(spark, d, model).select("video_id", "detected_language", "language_confidence", "language_source", "filter_reason")
+
+
 def rejection_counts(spark, d):
     return C.rejection_counts(_built(spark, d))
 
@@ -380,7 +393,7 @@ def review_sheet(spark, d):
 
 
 NAMES = (
-    "candidate_scores rejection_counts hit_rollup discovery_counts found_both_ways merged_resources parsed_hits feed_topics wildcard_pool rights_gate requested_rows title_pairs title_pairs_ratio event_groups ranked_candidates topic_quota greedy_selection selection_counts topic_funnel query_plan "
+    "candidate_scores detected_languages detected_candidates rejection_counts hit_rollup discovery_counts found_both_ways merged_resources parsed_hits feed_topics wildcard_pool rights_gate requested_rows title_pairs title_pairs_ratio event_groups ranked_candidates topic_quota greedy_selection selection_counts topic_funnel query_plan "
     "stage_states download_status active_jobs dashboard batch_rollup latest_jobs next_queued latest_state log_storage completeness first_existing translation_ready auto_captions unique_source last_errors checkpoint_match usage_cost parsed_responses candidate_recovery "
     "publish_rows publish_violations recommendations metadata_prompts tags_and_cuts translation_flags time_helpers day_windows snapshot_dates video_links redacted_logs error_classes fingerprints candidate_links layout_sizes probe_facts render_qc review_sheet"
 ).split()

@@ -154,3 +154,12 @@ ORACLE_SQL = {
     "probe_facts": """WITH p AS (SELECT page_id AS video_id, page_id % 4 * 90 AS rotation, length(html) AS n FROM pages)
       SELECT video_id, greatest(n % 500 + 0.5, n % 400)::DOUBLE AS duration, CAST(CASE WHEN rotation IN (90, 270) THEN 1080 ELSE 1920 END AS INTEGER) AS display_width, CAST(CASE WHEN rotation IN (90, 270) THEN 1920 ELSE 1080 END AS INTEGER) AS display_height, round(video_id % 60 * 1000 / 1001, 6) AS rate, CAST(rotation AS INTEGER) AS rotation, 'copy' AS audio FROM p""",
 }
+
+ORACLE_SQL["detected_languages"] = r"""WITH t AS (SELECT doc_id, lang, regexp_replace(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+', ' ', 'g') AS t FROM documents),
+  o AS (SELECT doc_id, lang, list_transform(string_split(t, ''), lambda c: ord(c)) AS o FROM t),
+  p AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(o) - 1), lambda i: (o[i] * 961 + o[i + 1] * 31 + o[i + 2]) % 4096)) AS p FROM o),
+  c AS (SELECT doc_id, lang, p, count(*) AS n FROM p GROUP BY ALL), langs AS (SELECT DISTINCT lang AS l FROM documents WHERE doc_id % 4 <> 0 AND lang IS NOT NULL),
+  places AS (SELECT l, p FROM langs, (SELECT unnest(range(4096)) AS p)), seen AS (SELECT lang AS l, p, sum(n) AS n FROM c WHERE doc_id % 4 <> 0 GROUP BY ALL), totals AS (SELECT l, sum(n) AS total FROM seen GROUP BY l),
+  w AS (SELECT places.l, places.p, ln((coalesce(n, 0) + 1) / (total + 4096)) AS w FROM places JOIN totals USING (l) LEFT JOIN seen ON seen.l = places.l AND seen.p = places.p),
+  s AS (SELECT doc_id, w.l, sum(c.n * w.w) AS s FROM c JOIN w ON w.p = c.p GROUP BY ALL), best AS (SELECT doc_id, first(l ORDER BY s DESC, l) AS l FROM s GROUP BY doc_id)
+  SELECT t.doc_id, t.lang, CASE WHEN length(t.t) >= 5 THEN best.l ELSE 'unknown' END AS detected, t.doc_id % 4 = 0 AS held_out FROM t LEFT JOIN best USING (doc_id)"""

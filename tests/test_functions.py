@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from cuefold.functions import layout, logs, times
+from cuefold.functions import language, layout, logs, times, udfs
 from cuefold.functions import publishing as P
 from cuefold.functions import text as T
 from cuefold.functions import translation as R
@@ -119,3 +119,19 @@ def test_links_and_logs(spark):
     assert many["ids"] == [i, i[::-1]] and many["rejected"] == ["bad"]
     assert one(spark, logs.redacted(F.col("t")), t="get https://a.b/c?x=1 --cookies /p api_key=1") == "get https://a.b/c --cookies <cookies_file> <redacted>"
     assert one(spark, logs.error_class(F.col("t")), t="HTTP Error 503") == "transient" and one(spark, logs.error_class(F.col("t")), t="please Sign in") == "sign_in"
+
+
+def test_language_model(spark):
+    """Held-out texts, texts too short, and all scores against plain sums."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where("doc_id % 4 <> 0"))
+    assert model.languages == ("de", "en", "es", "fr")
+    held = docs.where("doc_id % 4 = 0").select("text", "lang", model.column(F.col("text")).alias("found"), model.scores(F.col("text")).alias("scores")).collect()
+    right = sum(r["lang"] == r["found"] for r in held)
+    assert right / len(held) > 0.95 and len(held) == 250, right
+    for r in held[:20]:
+        low = re.sub(r"[ \t\n\x0b\f\r]+", " ", r["text"].lower())
+        places = [(ord(a) * 961 + ord(b) * 31 + ord(c)) % 4096 for a, b, c in zip(low, low[1:], low[2:], strict=False)]
+        assert all(abs(sum(w[p] for p in places) - s) < 1e-6 * abs(s) for w, s in zip(model.weights, r["scores"], strict=True))
+    assert one(spark, model.column(F.col("t")), t="ab") == "unknown" and one(spark, model.column(F.lit(None).cast("string")), t="x") == "unknown"
+    assert one(spark, udfs.detect_language(model)(F.col("t")), t="the other of the thing and that") == "en" and one(spark, udfs.detect_language()(F.col("t")), t="x") == "unknown"
