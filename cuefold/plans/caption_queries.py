@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuefold.functions import text as T
+from cuefold.functions import translation
 from cuefold.operators import alignment, captions, folds, intervals, quality
 from cuefold.plans import views as V
 from cuefold.sources import captions as files
@@ -255,6 +256,28 @@ def source_decision(spark, d):
     return quality.choose_source(quality.caption_scores(*_scored(spark, d)))
 
 
+def source_ladder(spark, d):
+    """The choice between two scored sources of each order, by the rules and as asked for; every rule decides somewhere."""
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("video_id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    some = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    num, part = (lambda x: x.cast("double")), (lambda x, n, m: F.floor(F.col(x) / n) % m)
+    of = lambda source, **cols: o.select("video_id", F.lit(source).alias("source"), "c", *[v.alias(k) for k, v in cols.items()])
+    steps = F.element_at(F.array(*[F.lit(x) for x in (0, 0, 0, 1, 3, 9, 20)]), (F.col("c") % 7 + 1).cast("int"))
+    y = of(
+        "youtube", final_score=num(62 + F.col("k") % 37), hard_fail=F.col("c") % 11 == 0, source_type=F.when(F.col("k") % 5 == 0, "manual").otherwise("auto"), coverage=F.lit(90.0), timeline=F.lit(80.0), readability=F.lit(70.0),
+        max_uncovered=F.lit(1.0), flags=some("LOW"),
+    ).where("c % 19 <> 0")
+    w = of(
+        "whisper", final_score=num(62 + (F.col("k") + steps) % 37), hard_fail=F.col("c") % 13 == 0, source_type=F.lit("asr"), coverage=num(90 + part("k", 2, 3) * 2), timeline=num(80 + part("k", 4, 2)), readability=num(70 + part("c", 7, 2)),
+        max_uncovered=num(1 + part("c", 2, 3) * 2), flags=F.when(F.col("k") % 3 == 0, some("LOW", "USER_OVERRIDE_HARD_FAIL")).otherwise(some()),
+    ).where("c % 17 <> 0")
+    scores, out = y.unionByName(w).drop("c"), None
+    for mode in ("auto", "manual", "whisper"):
+        one = quality.choose_source(scores, mode).select(F.lit(mode).alias("mode"), "video_id", "selected_source", "selection_reason", F.array_join("warnings", "|").alias("warnings"), "selection_failed", "score_difference")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def selection_report(spark, d):
     scores = quality.caption_scores(*_scored(spark, d))
     return sinks.selection_report(quality.choose_source(scores), scores)
@@ -269,11 +292,8 @@ def translation_qc(spark, d):
 
 
 def flag_histogram(spark, d):
-    from cuefold.functions import translation as R
-
-    src, tr = V.translations(spark, d)
-    both = tr.join(src.select("video_id", "id", "text", (F.col("end") - F.col("start")).alias("seconds")), ["video_id", "id"])
-    return quality.flag_histogram(both.select("video_id", R.translation_flags(F.col("text"), F.col("translation"), F.col("seconds"), {"the": "该"}).alias("qc_flags")))
+    rows = V.translated_cues(spark, d)
+    return quality.flag_histogram(rows.select("video_id", translation.translation_flags(F.col("text"), F.col("translation"), F.col("seconds"), {"the": "该"}).alias("qc_flags")))
 
 
 def reading_metrics(spark, d):
@@ -342,7 +362,7 @@ def visible_text(spark, d):
 NAMES = (
     "caption_qc adjacent_pairs strict_order timeline_summary translation_preflight rolling_increment timed_increment fuzzy_increment word_events cleaning_stats split_long fix_timeline translation_batches prompt_payloads subtitle_sample "
     "fragments merged_fragments sentences rebuilt_timeline interval_union interval_intersection longest_gap long_track_union long_track_gap overlap_join best_overlap aligned_translation id_join times_pairs clipped_pairs pair_validation review_import accepted_reviews missing_and_extra "
-    "pending_rows low_confidence repeated_runs source_quality source_quality_ratio recogniser_qc speech_intervals score_deductions caption_scores source_decision selection_report track_agreement translation_qc flag_histogram reading_metrics best_chinese "
+    "pending_rows low_confidence repeated_runs source_quality source_quality_ratio recogniser_qc speech_intervals score_deductions caption_scores source_decision source_ladder selection_report track_agreement translation_qc flag_histogram reading_metrics best_chinese "
     "recovery resolved_inputs srt_round_trip vtt_round_trip strict_srt srt_inspection asr_words text_helpers visible_text"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cuefold.plans.caption_queries import COMP, KEY, W1, WORDS
-from cuefold.plans.views import CUES, INTERVALS, ROLLING, TRACKS, TRANSLATIONS, UNION_SQL
+from cuefold.plans.views import CUES, INTERVALS, ROLLING, TRACKS, TRANSLATED, TRANSLATIONS, UNION_SQL
 
 PAIRS = ROLLING + f""",
 p AS (SELECT *, {COMP.format("text")} AS now FROM rolling),
@@ -155,10 +155,10 @@ ORACLE_SQL = {
       m AS (SELECT *, round(cjk / greatest(cjk + latin, 1), 6) AS cr, round(latin / greatest(cjk + latin, 1), 6) AS er FROM g)
       SELECT video_id, 'zh.clean.srt' AS track, n AS segment_count, cjk AS cjk_character_count, latin AS ascii_letter_count, long AS overlong_line_count, fast AS fast_reading_cue_count, dup AS adjacent_duplicate_count, rep AS repeated_punctuation_count, cr AS cjk_ratio, er AS english_leakage_ratio,
         round(greatest(0.0, least(120.0, 106.0::DOUBLE - er * 30.0 - least(20.0, long / n * 40.0) - least(20.0, fast / n * 35.0) - least(10.0, dup * 2.5::DOUBLE) - least(10.0, rep * 1.5::DOUBLE))), 3) AS score FROM m""",
-    "translation_flags": f"""WITH {CUES}, a AS (SELECT video_id, cue_id, text, "end" - start AS seconds, {spoken_sql("text")} AS speech_seconds FROM cues),
+    "translation_flags": f"""WITH {TRANSLATED}, a AS (SELECT *, {spoken_sql("translation")} AS speech_seconds FROM translated),
       b AS (SELECT *, round(speech_seconds / greatest(0.05::DOUBLE, seconds), 3) AS ratio FROM a)
-      SELECT video_id, cue_id, speech_seconds, ratio, array_to_string({flags_sql("text", "text", "ratio")}, '|') AS flags FROM b""",
-    "flag_histogram": f"""WITH {TRANSLATIONS}, a AS (SELECT t.video_id, s.text, t.translation, s."end" - s.start AS seconds, {spoken_sql("t.translation")} AS spoken FROM tr t JOIN src s ON s.video_id = t.video_id AND s.id = t.id),
+      SELECT video_id, cue_id, speech_seconds, ratio, array_to_string({flags_sql("text", "translation", "ratio")}, '|') AS flags FROM b""",
+    "flag_histogram": f"""WITH {TRANSLATED}, a AS (SELECT *, {spoken_sql("translation")} AS spoken FROM translated),
       b AS (SELECT *, round(spoken / greatest(0.05::DOUBLE, seconds), 3) AS ratio FROM a), f AS (SELECT video_id, unnest({flags_sql("text", "translation", "ratio")}) AS flag FROM b)
       SELECT video_id, flag, count(*) AS n FROM f GROUP BY ALL""",
 }

@@ -111,7 +111,7 @@ def _picked(source: str, reason: str, warning: str = "") -> str:
 SAFE_Y, SAFE_W = "coalesce(NOT y.hard_fail, FALSE)", "coalesce(NOT w.hard_fail, FALSE)"
 USE_Y, USE_W = f"coalesce({SAFE_Y} AND y.final_score >= 70, FALSE)", f"coalesce({SAFE_W} AND w.final_score >= 70, FALSE)"
 BETTER = f"CASE WHEN {SAFE_Y} AND NOT {SAFE_W} THEN 'youtube' WHEN {SAFE_W} AND NOT {SAFE_Y} THEN 'whisper' WHEN y.final_score > w.final_score THEN 'youtube' ELSE 'whisper' END"
-DECISION = SCORES + f""",
+LADDER = f""",
 ids AS (SELECT DISTINCT video_id FROM scores),
 two AS (SELECT ids.video_id, round(abs(y.final_score - w.final_score), 3) AS score_difference, CASE
   WHEN {USE_Y} AND NOT {USE_W} THEN {_picked("youtube", "only_usable")} WHEN {USE_W} AND NOT {USE_Y} THEN {_picked("whisper", "only_usable")}
@@ -127,8 +127,30 @@ two AS (SELECT ids.video_id, round(abs(y.final_score - w.final_score), 3) AS sco
   ELSE {_picked("", "no_safe_source", "NO_HARD_SAFE_SUBTITLE_SOURCE")} END AS p
   FROM ids LEFT JOIN scores y ON y.video_id = ids.video_id AND y.source = 'youtube' LEFT JOIN scores w ON w.video_id = ids.video_id AND w.source = 'whisper')
 """
+DECISION = SCORES + LADDER
+#: Score rows of two sources for each order, so that every rule of the choice decides somewhere.
+ORDER_SCORES = """
+base AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+scores AS (
+  SELECT k AS video_id, 'youtube' AS source, 62.0::DOUBLE + k % 37 AS final_score, c % 11 = 0 AS hard_fail, CASE WHEN k % 5 = 0 THEN 'manual' ELSE 'auto' END AS source_type,
+    90.0::DOUBLE AS coverage, 80.0::DOUBLE AS timeline, 70.0::DOUBLE AS readability, 1.0::DOUBLE AS max_uncovered, ['LOW'] AS flags FROM base WHERE c % 19 <> 0
+  UNION ALL SELECT k, 'whisper', 62.0::DOUBLE + (k + [0, 0, 0, 1, 3, 9, 20][c % 7 + 1]) % 37, c % 13 = 0, 'asr', 90.0::DOUBLE + k // 2 % 3 * 2, 80.0::DOUBLE + k // 4 % 2, 70.0::DOUBLE + c // 7 % 2, 1.0::DOUBLE + c // 2 % 3 * 2,
+    CASE WHEN k % 3 = 0 THEN ['LOW', 'USER_OVERRIDE_HARD_FAIL'] ELSE [] END FROM base WHERE c % 17 <> 0)"""
+
+
+def _override(name: str, source: str) -> str:
+    """The choice where the user has asked for a source."""
+    given = f"(SELECT * FROM scores WHERE source = '{source}')"
+    warn = "list_concat(flags, CASE WHEN hard_fail THEN ['USER_OVERRIDE_HARD_FAIL'] ELSE [] END, CASE WHEN final_score < 70 THEN ['USER_OVERRIDE_BELOW_MINIMUM'] ELSE [] END)"
+    return f"""SELECT '{name}' AS mode, two.video_id, CASE WHEN g.final_score IS NULL THEN '' ELSE '{source}' END AS selected_source,
+      CASE WHEN g.final_score IS NULL THEN 'requested_source_missing' ELSE 'user_override' END AS selection_reason,
+      CASE WHEN g.final_score IS NULL THEN '' ELSE array_to_string(list_filter({warn}, lambda x, i: list_position({warn}, x) = i), '|') END AS warnings, g.final_score IS NULL AS selection_failed, score_difference
+      FROM two LEFT JOIN {given} g ON g.video_id = two.video_id"""
+
 
 ORACLE_SQL = {
+    "source_ladder": f"""WITH {ORDER_SCORES}{LADDER} SELECT 'auto' AS mode, video_id, p.s AS selected_source, p.r AS selection_reason, p.w AS warnings, p.s = '' AS selection_failed, score_difference FROM two
+      UNION ALL {_override("manual", "youtube")} UNION ALL {_override("whisper", "whisper")}""",
     "score_deductions": f"WITH {DEDUCTIONS} SELECT * FROM faults",
     "caption_scores": f"WITH {SCORES} SELECT *, NOT hard_fail AS hard_safe, NOT hard_fail AND final_score >= 70 AS usable FROM scores",
     "source_decision": f"WITH {DECISION} SELECT video_id, p.s AS selected_source, p.r AS selection_reason, list_filter([p.w], lambda x: x <> '') AS warnings, p.s = '' AS selection_failed, score_difference FROM two",

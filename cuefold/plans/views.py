@@ -137,3 +137,28 @@ src AS (SELECT video_id, cue_id AS id, start, "end", text FROM cues),
 tr AS (SELECT video_id, CASE WHEN k = 1 THEN id + 1000 ELSE id END AS id, CASE WHEN k = 2 THEN start + 0.5 ELSE start END AS start, "end",
   CASE WHEN k = 3 THEN '' WHEN k = 4 THEN text || '。。' ELSE text END AS translation FROM (SELECT *, (video_id * 7 + id) % 11 AS k FROM src) WHERE k <> 0)
 """
+
+
+def translated_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues with numbers and negations, and Chinese for them: as long as the time allows, too long, changed, stilted, empty or left in English."""
+    c = cues(spark, sf_dir)
+    k = (F.col("video_id") * 7 + F.col("cue_id")) % 12
+    seconds = F.round(F.col("end") - F.col("start"), 3)
+    n = F.floor(seconds * 4.5 * F.when(k == 4, 1.5).when(k == 5, 1.2).otherwise(0.8)).cast("int")
+    plain = F.concat(F.lit("该"), F.repeat(F.lit("好"), n))
+    text = F.concat(F.regexp_replace("text", "[0-9]", ""), F.when(k < 2, " 12 and 3.5").when(k.isin(2, 3), " do not go").otherwise(""))
+    told = (
+        F.when(k == 0, F.concat(plain, F.lit("12，3.5"))).when(k == 1, F.concat(plain, F.lit("12，3.6"))).when(k == 3, F.concat(F.lit("不"), plain)).when(k == 6, "").when(k == 7, F.col("text"))
+        .when(k == 8, F.concat(F.lit("进行一个"), plain)).when(k == 9, F.concat(plain, F.lit("，，"))).when(k == 10, F.repeat(F.lit("好"), n)).otherwise(plain)
+    )
+    return c.select("video_id", "cue_id", text.alias("text"), told.alias("translation"), seconds.alias("seconds"))
+
+
+TRANSLATED = CUES + """,
+timed AS (SELECT video_id, cue_id, text AS t, (video_id * 7 + cue_id) % 12 AS k, round("end" - start, 3) AS seconds FROM cues),
+sized AS (SELECT *, floor(seconds * 4.5::DOUBLE * CASE k WHEN 4 THEN 1.5::DOUBLE WHEN 5 THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END)::INTEGER AS n FROM timed),
+translated AS (
+  SELECT video_id, cue_id, seconds, regexp_replace(t, '[0-9]', '', 'g') || CASE WHEN k < 2 THEN ' 12 and 3.5' WHEN k IN (2, 3) THEN ' do not go' ELSE '' END AS text,
+    CASE k WHEN 0 THEN '该' || repeat('好', n) || '12，3.5' WHEN 1 THEN '该' || repeat('好', n) || '12，3.6' WHEN 3 THEN '不该' || repeat('好', n) WHEN 6 THEN '' WHEN 7 THEN t
+      WHEN 8 THEN '进行一个该' || repeat('好', n) WHEN 9 THEN '该' || repeat('好', n) || '，，' WHEN 10 THEN repeat('好', n) ELSE '该' || repeat('好', n) END AS translation FROM sized)
+"""
