@@ -279,6 +279,14 @@ def publish_rows(spark, d):
     return tasks.publish_rows(t, r, cats, 1, None, "【免责声明】", "【原视频简介】")
 
 
+def bilingual_titles(spark, d):
+    """Titles of both languages, short and long, alike, prefixed and empty, from whole texts."""
+    k = F.col("doc_id") % 8
+    zh = F.when(k == 0, "").when(k == 1, F.concat(F.lit(" 【 中英双语 】"), F.repeat(F.lit("题"), (F.col("doc_id") % 45).cast("int")), F.lit("｜"))).when(k == 2, F.col("text")).when(k == 3, F.repeat(F.lit("中 文"), (F.col("doc_id") % 30).cast("int"))).otherwise("猫和狗")
+    en = F.when(k == 4, "猫和狗").when(k == 5, F.col("source")).when(k == 6, F.array_join(F.slice(F.split("text", " "), 1, 11), " ")).when(k == 7, F.lit(None)).otherwise(F.col("text"))
+    return V.table(spark, d, "documents").select("doc_id", P.bilingual_title(zh, en).alias("title"))
+
+
 def publish_violations(spark, d):
     docs = V.table(spark, d, "documents")
     title = F.concat(F.when(F.col("doc_id") % 3 == 0, P.PREFIX).otherwise(""), F.lit("题"), F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
@@ -395,6 +403,6 @@ def review_sheet(spark, d):
 NAMES = (
     "candidate_scores detected_languages detected_candidates rejection_counts hit_rollup discovery_counts found_both_ways merged_resources parsed_hits feed_topics wildcard_pool rights_gate requested_rows title_pairs title_pairs_ratio event_groups ranked_candidates topic_quota greedy_selection selection_counts topic_funnel query_plan "
     "stage_states download_status active_jobs dashboard batch_rollup latest_jobs next_queued latest_state log_storage completeness first_existing translation_ready auto_captions unique_source last_errors checkpoint_match usage_cost parsed_responses candidate_recovery "
-    "publish_rows publish_violations recommendations metadata_prompts tags_and_cuts translation_flags time_helpers day_windows snapshot_dates video_links redacted_logs error_classes fingerprints candidate_links layout_sizes probe_facts render_qc review_sheet"
+    "publish_rows bilingual_titles publish_violations recommendations metadata_prompts tags_and_cuts translation_flags time_helpers day_windows snapshot_dates video_links redacted_logs error_classes fingerprints candidate_links layout_sizes probe_facts render_qc review_sheet"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -163,3 +163,12 @@ ORACLE_SQL["detected_languages"] = r"""WITH t AS (SELECT doc_id, lang, regexp_re
   w AS (SELECT places.l, places.p, ln((coalesce(n, 0) + 1) / (total + 4096)) AS w FROM places JOIN totals USING (l) LEFT JOIN seen ON seen.l = places.l AND seen.p = places.p),
   s AS (SELECT doc_id, w.l, sum(c.n * w.w) AS s FROM c JOIN w ON w.p = c.p GROUP BY ALL), best AS (SELECT doc_id, first(l ORDER BY s DESC, l) AS l FROM s GROUP BY doc_id)
   SELECT t.doc_id, t.lang, CASE WHEN length(t.t) >= 5 THEN best.l ELSE 'unknown' END AS detected, t.doc_id % 4 = 0 AS held_out FROM t LEFT JOIN best USING (doc_id)"""
+
+_PLAIN = r"regexp_replace(regexp_replace(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g')), '^\s*【\s*中英双语\s*】\s*', ''), '^[ ｜|+\-]+|[ ｜|+\-]+$', '', 'g')"
+ORACLE_SQL["bilingual_titles"] = f"""WITH g AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN ' 【 中英双语 】' || repeat('题', (doc_id % 45)::INTEGER) || '｜' WHEN 2 THEN text WHEN 3 THEN repeat('中 文', (doc_id % 30)::INTEGER) ELSE '猫和狗' END AS z,
+    CASE doc_id % 8 WHEN 4 THEN '猫和狗' WHEN 5 THEN source WHEN 6 THEN array_to_string(string_split(text, ' ')[1:11], ' ') WHEN 7 THEN NULL ELSE text END AS e FROM documents),
+  p AS (SELECT doc_id, CASE WHEN {_PLAIN.format("z")} = '' THEN '中英双语精选' ELSE {_PLAIN.format("z")} END AS zh, {_PLAIN.format("e")} AS en FROM g),
+  o AS (SELECT doc_id, zh, CASE WHEN en <> '' AND lower(en) <> lower(zh) THEN en END AS en FROM p),
+  c AS (SELECT *, length(zh) + length(en) > 73 AS crowded FROM o), f AS (SELECT *, CASE WHEN crowded THEN rtrim(zh[1:36]) ELSE zh END AS head FROM c), r AS (SELECT *, 73 - length(head) AS room FROM f),
+  s AS (SELECT *, CASE WHEN NOT crowded THEN en WHEN room > 1 THEN CASE WHEN length(rtrim(en[1:room])) < length(en) THEN rtrim(rtrim(en[1:room])[1 : length(rtrim(en[1:room])) - 1]) || '…' ELSE en END END AS tail FROM r)
+  SELECT doc_id, ('【中英双语】' || head || coalesce('｜' || tail, ''))[1:80] AS title FROM s"""

@@ -100,6 +100,18 @@ def sentences(spark, d):
     return folds.segment_sentences(captions.word_events(captions.cue_words(V.cues(spark, d)))).drop("source_cue_ids")
 
 
+def word_sentences(spark, d):
+    return folds.segment_sentences(V.spoken_words(spark, d), ["video_id"]).select("video_id", "cue_id", "start", "end", "text")
+
+
+def word_fragments(spark, d):
+    return folds.fragments(V.spoken_words(spark, d).select("video_id", F.col("i").alias("cue_id"), "start", "end", "text"), ["video_id"])
+
+
+def merged_words(spark, d):
+    return folds.merge_fragments(V.spoken_words(spark, d).select("video_id", F.col("i").alias("cue_id"), "start", "end", "text"), ["video_id"])
+
+
 def rebuilt_timeline(spark, d):
     return folds.rebuild_timeline(folds.segment_sentences(captions.word_events(captions.cue_words(V.cues(spark, d))))).select("video_id", "cue_id", "start", "end", "text")
 
@@ -361,7 +373,7 @@ def visible_text(spark, d):
 
 NAMES = (
     "caption_qc adjacent_pairs strict_order timeline_summary translation_preflight rolling_increment timed_increment fuzzy_increment word_events cleaning_stats split_long fix_timeline translation_batches prompt_payloads subtitle_sample "
-    "fragments merged_fragments sentences rebuilt_timeline interval_union interval_intersection longest_gap long_track_union long_track_gap overlap_join best_overlap aligned_translation id_join times_pairs clipped_pairs pair_validation review_import accepted_reviews missing_and_extra "
+    "fragments merged_fragments sentences word_sentences word_fragments merged_words rebuilt_timeline interval_union interval_intersection longest_gap long_track_union long_track_gap overlap_join best_overlap aligned_translation id_join times_pairs clipped_pairs pair_validation review_import accepted_reviews missing_and_extra "
     "pending_rows low_confidence repeated_runs source_quality source_quality_ratio recogniser_qc speech_intervals score_deductions caption_scores source_decision source_ladder selection_report track_agreement translation_qc flag_histogram reading_metrics best_chinese "
     "recovery resolved_inputs srt_round_trip vtt_round_trip strict_srt srt_inspection asr_words text_helpers visible_text"
 ).split()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cuefold.plans.caption_queries import COMP, KEY, W1, WORDS
-from cuefold.plans.views import CUES, INTERVALS, ROLLING, TRACKS, TRANSLATED, TRANSLATIONS, UNION_SQL
+from cuefold.plans.views import CUES, INTERVALS, ROLLING, SPOKEN, TRACKS, TRANSLATED, TRANSLATIONS, UNION_SQL
 
 PAIRS = ROLLING + f""",
 p AS (SELECT *, {COMP.format("text")} AS now FROM rolling),
@@ -165,3 +165,27 @@ ORACLE_SQL = {
 
 #: All events as one track.
 ORACLE_SQL |= {f"long_track_{k}": ORACLE_SQL[name].replace("user_id AS video_id", "0::BIGINT AS video_id") for k, name in (("union", "interval_union"), ("gap", "longest_gap"))}
+
+#: The ordered folds over words, row by row: the state of a track is its open segment or fragment.
+ORACLE_SQL |= {
+    "word_sentences": f"""WITH RECURSIVE {SPOKEN},
+      fold AS (
+        SELECT video_id, i, 1 AS cue_id, start AS since, length(text) AS signs, text, start, "end", regexp_matches(text, '[.!?]$') AS over FROM words WHERE i = 0
+        UNION ALL SELECT video_id, i, cue_id + new::INTEGER, CASE WHEN new THEN start ELSE since END, CASE WHEN new THEN length(text) ELSE signs + 1 + length(text) END, text, start, "end",
+          regexp_matches(text, '[.!?]$') OR (NOT new AND regexp_matches(text, '[,;:]$') AND "end" - since >= 7.0::DOUBLE * 0.72::DOUBLE)
+        FROM (SELECT f.video_id, w.i, f.cue_id, f.since, f.signs, w.text, w.start, w."end", f.over OR w.start - f."end" > 0.6::DOUBLE OR w."end" - f.since > 7.0 OR f.signs + 1 + length(w.text) > 84 AS new FROM fold f JOIN words w ON w.video_id = f.video_id AND w.i = f.i + 1)
+      ) SELECT video_id, cue_id, min(start) AS start, max("end") AS "end", string_agg(text, ' ' ORDER BY i) AS text FROM fold GROUP BY video_id, cue_id""",
+    "word_fragments": f"""WITH {SPOKEN}, seen AS (SELECT *, lag(lower(text)) OVER (PARTITION BY video_id ORDER BY i) AS before FROM words),
+      told AS (SELECT *, sum(CASE WHEN before = lower(text) THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY i) AS cue_id FROM seen)
+      SELECT video_id, cue_id::INTEGER AS cue_id, min(start) AS start, max("end") AS "end", first(text ORDER BY i) AS text FROM told GROUP BY video_id, cue_id""",
+    "merged_words": f"""WITH RECURSIVE {SPOKEN},
+      fold AS (
+        SELECT video_id, i, 1 AS cue_id, start AS since, "end" AS until, text AS so_far, lower(rtrim(text, '.,;!')) AS last FROM words WHERE i = 0
+        UNION ALL SELECT video_id, i, cue_id + (NOT joins)::INTEGER, CASE WHEN joins THEN since ELSE start END, CASE WHEN joins THEN greatest(until, "end") ELSE "end" END,
+          CASE WHEN NOT joins THEN text WHEN key = last THEN so_far ELSE so_far || ' ' || text END, key
+        FROM (SELECT f.*, w.text, w.start, w."end", w.i AS j, lower(rtrim(w.text, '.,;!')) AS key,
+          w.start - f.until <= 0.45::DOUBLE AND greatest(f.until, w."end") - f.since <= 7.0 AND (NOT regexp_matches(f.so_far, '[.!?]$') OR f.until - f.since < 1.0 OR regexp_matches(w.text, '^[a-z]')) AS joins
+          FROM fold f JOIN words w ON w.video_id = f.video_id AND w.i = f.i + 1) AS n(video_id, i_, cue_id, since, until, so_far, last, text, start, "end", i, key, joins)
+      ), ends AS (SELECT *, row_number() OVER (PARTITION BY video_id, cue_id ORDER BY i DESC) AS back FROM fold)
+      SELECT video_id, cue_id, since AS start, until AS "end", so_far AS text FROM ends WHERE back = 1""",
+}

@@ -162,3 +162,23 @@ translated AS (
     CASE k WHEN 0 THEN '该' || repeat('好', n) || '12，3.5' WHEN 1 THEN '该' || repeat('好', n) || '12，3.6' WHEN 3 THEN '不该' || repeat('好', n) WHEN 6 THEN '' WHEN 7 THEN t
       WHEN 8 THEN '进行一个该' || repeat('好', n) WHEN 9 THEN '该' || repeat('好', n) || '，，' WHEN 10 THEN repeat('好', n) ELSE '该' || repeat('好', n) END AS translation FROM sized)
 """
+
+
+def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as words that follow each other, with pauses, sentence ends, commas and repeats; seven words a cue, times in thousandths exact in doubles of seconds."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 7 + F.col("l_partkey") % 7).alias("video_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("q"))
+    w = W.partitionBy("video_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "q", "l_extendedprice")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(x) for x in values]), (at + 1).cast("int"))
+    long, pause = 100 + F.col("q") % 5 * 150, pick((0, 50, 100, 300, 700, 1500), F.col("l_partkey") % 6)
+    ends = F.sum(long + pause).over(w)
+    rows = li.select("video_id", (F.row_number().over(w) - 1).alias("i"), ends.alias("stop"), long.alias("long"), pick(("one", "Two", "four,", "five.", "no!", "so;", "and", "and"), F.col("l_orderkey") % 8).alias("text"))
+    second = lambda x: x.cast("double") / 1000
+    return rows.select("video_id", F.floor(F.col("i") / 7).cast("int").alias("cue_id"), (F.col("i") % 7).cast("int").alias("n"), "text", second(F.col("stop") - F.col("long")).alias("start"), second(F.col("stop")).alias("end"), "i")
+
+
+SPOKEN = """
+lines AS (SELECT l_suppkey * 7 + l_partkey % 7 AS video_id, l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT AS q, l_extendedprice, 100 + l_quantity::BIGINT % 5 * 150 AS long, [0, 50, 100, 300, 700, 1500][l_partkey % 6 + 1] AS pause,
+  ['one', 'Two', 'four,', 'five.', 'no!', 'so;', 'and', 'and'][l_orderkey % 8 + 1] AS text FROM lineitem),
+placed AS (SELECT *, row_number() OVER w - 1 AS i, sum(long + pause) OVER w AS stop FROM lines WINDOW w AS (PARTITION BY video_id ORDER BY l_orderkey, l_linenumber, l_partkey, q, l_extendedprice)),
+words AS (SELECT video_id, i, text, (stop - long)::DOUBLE / 1000 AS start, stop::DOUBLE / 1000 AS "end" FROM placed)
+"""
