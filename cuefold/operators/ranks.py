@@ -7,23 +7,27 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder of spark.checkpoint.dir and read again; a temporary folder stands in where that is unset, in local mode alone."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder of spark.checkpoint.dir; a temporary folder stands in where that is unset, in local mode alone."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='cuefold-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/cuefold/{name}-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/cuefold/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
