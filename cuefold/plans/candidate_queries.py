@@ -394,6 +394,31 @@ def render_qc(spark, d):
     return tasks.render_qc(pairs).select("video_id", F.array_join("failed_checks", ",").alias("failed"), "qc_status", "duration_difference")
 
 
+def render_checks(spark, d):
+    """Sources and outputs of pages as renders, each kind of fault in one of 24 of them, both modes."""
+    k = F.col("page_id") % 24
+    stream = lambda codec, seconds: F.struct(F.lit(codec).alias("codec"), seconds.cast("double").alias("duration"))
+    words = F.create_map(F.lit("title"), F.when(k == 1, "English").otherwise("English / 中文"), F.lit("language"), F.lit("mul"))
+    added = F.struct(F.when(k == 2, "srt").otherwise("ass").alias("codec"), words.alias("tags"), F.create_map(F.lit("default"), F.when(k == 3, 0).otherwise(1)).alias("disposition"))
+    two = lambda codec: F.array(stream("aac", F.lit(60.0)), stream(codec, F.lit(60.0)))
+
+    def probe(seconds, width, rate, audio, video, subtitles, videos):
+        return F.struct(
+            F.lit(videos).alias("video_stream_count") if isinstance(videos, int) else videos.alias("video_stream_count"), F.size(audio).alias("audio_stream_count"), seconds.cast("double").alias("duration"), width.alias("display_width"),
+            F.lit(1080).alias("display_height"), rate.cast("double").alias("frame_rate_value"), audio.alias("audio_streams"), video.alias("video_codec"), subtitles.alias("subtitle_streams"),
+        )
+
+    none = F.array().cast("array<struct<codec:string,tags:map<string,string>,disposition:map<string,int>>>")
+    source = probe(F.lit(60.0), F.lit(1920), F.lit(25.0), two("aac"), F.lit("h264"), none, 1)
+    audio = F.when(k == 4, two("mp3")).when(k == 5, F.array(stream("aac", F.lit(60.0)))).when(k == 6, F.array(stream("aac", F.lit(60.0)), stream("aac", F.lit(58.0)))).when(k == 7, F.array().cast("array<struct<codec:string,duration:double>>")).otherwise(two("aac"))
+    output = probe(F.when(k == 8, 60.6).when(k == 9, 60.4).otherwise(60.0), F.when(k == 10, 1280).otherwise(1920), F.when(k == 11, 25.03).when(k == 12, 25.01).otherwise(25.0), audio, F.when(k == 13, "hevc").when(k == 14, "").otherwise("h264"), F.when(k == 15, none).otherwise(F.array(added)), F.when(k == 16, 0).otherwise(1))
+    p = V.table(spark, d, "pages").select(
+        F.col("page_id").alias("video_id"), F.when(F.floor(F.col("page_id") / 24) % 2 == 0, "softsub").otherwise("hardsub").alias("mode"), F.when(k == 17, 1024).when(k == 18, F.lit(None)).otherwise(5000).cast("bigint").alias("size"),
+        F.when(k == 19, 1).otherwise(0).alias("returncode"), (F.col("page_id") % 48 == 28).alias("transcoded"), (k != 20).alias("cleaned"), source.alias("source"), F.when(k != 21, output).alias("output"),
+    )
+    return tasks.render_qc(p).select("video_id", F.array_join("failed_checks", ",").alias("failed"), "qc_status", "duration_difference")
+
+
 def review_sheet(spark, d):
     src, tr = V.translations(spark, d)
     t = tr.select("video_id", "id", F.col("translation").alias("text"))
@@ -403,6 +428,6 @@ def review_sheet(spark, d):
 NAMES = (
     "candidate_scores detected_languages detected_candidates rejection_counts hit_rollup discovery_counts found_both_ways merged_resources parsed_hits feed_topics wildcard_pool rights_gate requested_rows title_pairs title_pairs_ratio event_groups ranked_candidates topic_quota greedy_selection selection_counts topic_funnel query_plan "
     "stage_states download_status active_jobs dashboard batch_rollup latest_jobs next_queued latest_state log_storage completeness first_existing translation_ready auto_captions unique_source last_errors checkpoint_match usage_cost parsed_responses candidate_recovery "
-    "publish_rows bilingual_titles publish_violations recommendations metadata_prompts tags_and_cuts translation_flags time_helpers day_windows snapshot_dates video_links redacted_logs error_classes fingerprints candidate_links layout_sizes probe_facts render_qc review_sheet"
+    "publish_rows bilingual_titles publish_violations recommendations metadata_prompts tags_and_cuts translation_flags time_helpers day_windows snapshot_dates video_links redacted_logs error_classes fingerprints candidate_links layout_sizes probe_facts render_qc render_checks review_sheet"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cuefold.plans import views as V
 from cuefold.plans.candidate_queries import CATEGORIES, SETTINGS
 from cuefold.plans.views import CUES, HITS, JOBS
 
@@ -172,3 +173,21 @@ ORACLE_SQL["bilingual_titles"] = f"""WITH g AS (SELECT doc_id, CASE doc_id % 8 W
   c AS (SELECT *, length(zh) + length(en) > 73 AS crowded FROM o), f AS (SELECT *, CASE WHEN crowded THEN rtrim(zh[1:36]) ELSE zh END AS head FROM c), r AS (SELECT *, 73 - length(head) AS room FROM f),
   s AS (SELECT *, CASE WHEN NOT crowded THEN en WHEN room > 1 THEN CASE WHEN length(rtrim(en[1:room])) < length(en) THEN rtrim(rtrim(en[1:room])[1 : length(rtrim(en[1:room])) - 1]) || '…' ELSE en END END AS tail FROM r)
   SELECT doc_id, ('【中英双语】' || head || coalesce('｜' || tail, ''))[1:80] AS title FROM s"""
+
+_CHECKS = (
+    ("output_exists", "k <> 18"), ("output_size_valid", "k NOT IN (17, 18)"), ("ffprobe_parsed", "there"), ("video_stream_exists", "there AND k <> 16"), ("audio_stream_exists", "there AND k <> 7"), ("duration_matches", "there AND k <> 8"),
+    ("resolution_matches", "there AND k <> 10"), ("frame_rate_matches", "there AND k <> 11"), ("audio_stream_count_matches", "there AND k NOT IN (5, 7)"), ("ffmpeg_returned_zero", "k <> 19"), ("temporary_files_cleaned", "k <> 20"),
+    ("video_stream_copied", "hard OR (there AND k NOT IN (13, 14))"), ("audio_streams_copied", "hard OR (there AND k NOT IN (4, 5, 7))"), ("ass_subtitle_exists", "hard OR (there AND k NOT IN (1, 2, 15))"), ("subtitle_title_and_language", "hard OR (there AND k NOT IN (1, 15))"),
+    ("subtitle_default", "hard OR (there AND k NOT IN (1, 3, 15))"), ("hardsub_video_encoded", "NOT hard OR (there AND k <> 14)"), ("audio_content_present", "NOT hard OR (there AND k <> 7)"), ("audio_duration_matches", "NOT hard OR (there AND k NOT IN (5, 6, 7))"),
+    ("audio_transcode_recorded", "NOT hard OR (there AND k NOT IN (4, 5, 7)) OR page_id % 48 = 28"),
+)
+ORACLE_SQL["render_checks"] = f"""WITH p AS (SELECT page_id, page_id % 24 AS k, page_id // 24 % 2 = 1 AS hard, page_id % 24 <> 21 AS there FROM pages),
+  f AS (SELECT *, list_filter([{", ".join(f"CASE WHEN NOT ({test}) THEN '{name}' END" for name, test in _CHECKS)}], lambda x: x IS NOT NULL) AS failed FROM p)
+  SELECT page_id AS video_id, array_to_string(failed, ',') AS failed, CASE WHEN len(failed) = 0 THEN 'QC_PASSED' ELSE 'FAILED' END AS qc_status,
+    round(CASE WHEN NOT there THEN -60.0 WHEN k = 8 THEN 0.6 WHEN k = 9 THEN 0.4 ELSE 0.0 END::DOUBLE, 6) AS duration_difference FROM f"""
+
+_CLOCK = "lpad((({0}) // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((({0}) % 1000)::VARCHAR, 3, '0')"
+ORACLE_SQL["review_sheet"] = f"""WITH {V.TRANSLATIONS}, j AS (SELECT s.*, round(s.start * 1000)::BIGINT AS a, round(s."end" * 1000)::BIGINT AS b, t.translation AS raw, c.translation AS clean FROM src s LEFT JOIN tr t ON t.video_id = s.video_id AND t.id = s.id
+    LEFT JOIN (SELECT * FROM tr WHERE id % 2 = 0) c ON c.video_id = s.video_id AND c.id = s.id)
+  SELECT video_id, id, {_CLOCK.format("a")} AS start, {_CLOCK.format("b")} AS "end", format('{{:.3f}}', greatest("end" - start, 0.0)) AS duration, text AS english, coalesce(raw, '') AS chinese_raw, coalesce(clean, raw, '') AS chinese_clean,
+    coalesce(clean, raw, '') AS reviewed_translation, 'A|B' AS qc_flags, 'whisper' AS source, '' AS reviewer_note FROM j"""
