@@ -367,6 +367,19 @@ def srt_inspection(spark, d):
     return files.inspect_srt(_files(spark, d)).drop("track")
 
 
+def broken_srt(spark, d):
+    """What both readers tell of files with blocks without an id, a lawful one, a time line or text, with long, many or odd lines, and with repeated ids."""
+    c = V.cues(spark, d)
+    k, own = (F.col("cue_id") + F.col("video_id")) % 8, F.col("cue_id").cast("string")
+    number = F.when(k == 2, F.concat(F.lit("x"), own)).when(k == 7, F.greatest(F.col("cue_id") - 1, F.lit(0)).cast("string")).otherwise(own)
+    text = F.when(k == 5, F.concat(F.repeat(F.lit("a"), 60), F.chr(F.lit(7)))).when(k == 6, "one\ntwo\nthree").otherwise("some words")
+    block = F.concat_ws("\n", F.when(k != 1, number), F.when(k != 3, "00:00:01,000 --> 00:00:02,500"), F.when(k != 4, text))
+    files_ = c.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("cue_id", block.alias("b")))).alias("all"))
+    files_ = files_.select("video_id", F.lit("en.srt").alias("track"), F.array_join(F.transform("all", lambda x: x["b"]), "\n\n").alias("content"))
+    strict = files.strict_diagnostics(files.parse_srt_strict(files_)).select("video_id", *[F.size(x).alias(x) for x in ("malformed_blocks", "duplicate_ids", "illegal_control_ids")])
+    return files.inspect_srt(files_).drop("track").withColumnRenamed("duplicate_ids", "repeated_ids").join(strict, "video_id")
+
+
 def asr_words(spark, d):
     c = V.cues(spark, d).withColumns({"id": F.col("cue_id"), "words": F.lit(None).cast("array<struct<word:string,start:double,end:double,probability:double>>")})
     near = lambda x: F.round(F.col(x) + 1e-7, 3).alias(x)
@@ -387,6 +400,6 @@ NAMES = (
     "caption_qc adjacent_pairs strict_order timeline_summary translation_preflight rolling_increment timed_increment fuzzy_increment word_events cleaning_stats split_long fix_timeline translation_batches prompt_payloads subtitle_sample "
     "fragments merged_fragments sentences word_sentences word_fragments merged_words rebuilt_timeline interval_union interval_intersection longest_gap long_track_union long_track_gap overlap_join best_overlap aligned_translation id_join times_pairs clipped_pairs pair_validation review_import accepted_reviews missing_and_extra "
     "pending_rows low_confidence repeated_runs source_quality source_quality_ratio recogniser_qc speech_intervals score_deductions caption_scores incremental_run source_decision source_ladder selection_report track_agreement translation_qc flag_histogram reading_metrics best_chinese "
-    "recovery resolved_inputs srt_round_trip vtt_round_trip strict_srt srt_inspection asr_words text_helpers visible_text"
+    "recovery resolved_inputs srt_round_trip vtt_round_trip strict_srt srt_inspection broken_srt asr_words text_helpers visible_text"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -192,3 +192,7 @@ ORACLE_SQL |= {
 
 ORACLE_SQL["incremental_run"] = f"""WITH {CUES} SELECT video_id, CASE WHEN bool_or(video_id % 5 = 0 AND cue_id = 0) THEN 'computed' ELSE 'reused' END AS action, count(*) AS cues,
   sum(length(text) + (video_id % 5 = 0 AND cue_id = 0)::INTEGER)::BIGINT AS signs FROM cues GROUP BY video_id"""
+
+ORACLE_SQL["broken_srt"] = f"""WITH {CUES}, c AS (SELECT video_id, cue_id, (cue_id + video_id) % 8 AS k FROM cues), n AS (SELECT video_id, count(*) AS blocks, count(*) FILTER (k IN (1, 2)) AS invalid_ids, count(*) FILTER (k = 7 AND cue_id > 0) AS repeated_ids,
+    count(*) FILTER (k IN (2, 3)) AS invalid_timing_lines, count(*) FILTER (k IN (2, 3, 4)) AS empty_blocks, count(*) FILTER (k = 5) AS long_lines, count(*) FILTER (k = 6) AS too_many_lines, count(*) FILTER (k IN (1, 3))::INTEGER AS malformed_blocks FROM c GROUP BY video_id)
+  SELECT *, repeated_ids::INTEGER AS duplicate_ids, long_lines::INTEGER AS illegal_control_ids FROM n"""
