@@ -73,7 +73,7 @@ UNION_SQL = """
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as discovery hits on documents: views and clicks are searches, sign-ups popular feeds."""
+    """Events as discovery hits on documents: views and clicks are searches, sign-ups popular feeds; events of other types are no hits."""
     d = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     e = table(spark, sf_dir, "events").join(F.broadcast(d))  # one row
     mode = F.when(F.col("event_type") == "view", "fresh").when(F.col("event_type") == "click", "growth")

@@ -9,6 +9,7 @@ from cuefold.functions import layout, times
 from cuefold.functions import text as T
 from cuefold.sources.manifests import REVIEW
 
+# The head of an ASS file.
 ASS_HEAD = """[Script Info]
 Title: English / 中文
 ScriptType: v4.00+
