@@ -56,6 +56,15 @@ def features(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, n
     return owner, (h >> np.uint64(64 - s.bits)).astype(np.int64), np.bincount(owner, minlength=len(texts))
 
 
+def long_features(text: bytes, s: Settings, size: int = terms.LONG) -> Iterator[np.ndarray]:
+    """Weight indexes of the n-grams of one long text, part by part; a run's shape tells whether it is the one or two before, so two more runs go before each part."""
+    most = max(s.ngram, s.shape_ngram)
+    for part, known in terms.windows(text, most + 1, size):
+        _, words, shapes = terms.shaped_tokens([part])
+        h = np.concatenate([terms.later_ngrams(words, s.ngram, known), terms.later_ngrams(shapes, s.shape_ngram, known)])
+        yield (h >> np.uint64(64 - s.bits)).astype(np.int64)
+
+
 def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
     return np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
 
@@ -66,6 +75,11 @@ def _train(s: Settings):
         for batch in batches:
             y, keys, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
             for first, part in terms.slices(texts):
+                if len(part[0]) > terms.LONG:
+                    seen = sum(np.bincount(index, minlength=1 << s.bits) for index in long_features(part[0], s))
+                    u = np.flatnonzero(seen)
+                    rows.append((keys[first], y[first], u.astype(np.int32), (seen[u] * (SCALE / max(1, seen.sum()))).astype(np.float32)))
+                    continue
                 owner, index, count = features(part, s)
                 order = np.argsort(owner, kind="stable")
                 cuts = np.r_[0, np.cumsum(count)]
@@ -102,7 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """(doc_id, score) for each row's whole text: a sparse dot product. Empty and null texts get the bias alone; without a model all get 0.5."""
+    """(doc_id, score) for each row's whole text: a sparse dot product. Empty and null texts get the bias alone; without a model all get 0.5.
+
+    Texts of over a million bytes are read in parts, at white space; a run of one kind of signs that fills most of a part counts as several.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +130,10 @@ def score(docs: DataFrame, weights: np.ndarray | None, settings: Settings = Sett
                 if w is None:
                     out.append(np.full(len(part), 0.5))
                     continue
+                if len(part[0]) > terms.LONG:
+                    sums = np.array([(w[index].sum(dtype=float), len(index)) for index in long_features(part[0], settings)]).sum(axis=0)
+                    out.append(1 / (1 + np.exp(-np.clip(np.array([sums[0] * SCALE / max(1, sums[1]) + float(w[-1])]), -35, 35))))
+                    continue
                 owner, index, count = features(part, settings)
                 dots = np.bincount(owner, w[index], minlength=len(part)) * SCALE / np.maximum(count, 1) + float(w[-1])
                 out.append(1 / (1 + np.exp(-np.clip(dots, -35, 35))))

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Bytes from which on a text is worked on in parts, so that memory does not go by its length.
+LONG = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -91,7 +93,46 @@ def ngrams(owner: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.ndarray
     return np.concatenate(owners), np.concatenate(out)
 
 
-def slices(texts: list[str | None], lower: bool = False, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _cut(text: bytes, at: int, size: int) -> int:
+    """Where a part that begins at `at` ends: at the last white space of its second half, else where the last run ends there, else after `size` bytes."""
+    stop = at + size
+    if stop >= len(text):
+        return len(text)
+    kind = _CLASS[np.frombuffer(text, np.uint8, size - size // 2, stop - (size - size // 2))]
+    white = np.flatnonzero(kind == 0)
+    edge = white if len(white) else np.flatnonzero(kind[1:] != kind[:-1])
+    return stop - len(kind) + int(edge[-1]) + 1 if len(edge) else stop
+
+
+def windows(text: bytes, back: int, size: int = LONG) -> Iterator[tuple[bytes, int]]:
+    """(part, known): a long text in parts of about `size` bytes, each behind the last `back` runs before it, of which there are `known`.
+
+    Runs are those of the whole text but for a run that fills most of a part: it counts as several.
+    """
+    at, before = 0, b""
+    while at < len(text):
+        stop = _cut(text, at, size)
+        part, known = text[at:stop], 0
+        if before:
+            known = len(_runs([before])[1])
+            part = before + b"\n" + part
+        yield part, known
+        starts = _runs([part])[1] if back else []
+        before = part[int(starts[-min(back, len(starts))]) :] if len(starts) else b""
+        at = stop
+
+
+def later_ngrams(hashes: np.ndarray, most: int, known: int) -> np.ndarray:
+    """The runs of 1 to `most` tokens of one text that hold a token after the first `known` ones; hashes as `ngrams` gives them."""
+    out, h = [hashes[known:]], hashes
+    for n in range(1, most):
+        with np.errstate(over="ignore"):
+            h = mixed(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[n:]) if len(h) else h
+        out.append(h[max(0, known - n) :])
+    return np.concatenate(out)
+
+
+def slices(texts: list[str | None], lower: bool = False, size: int = LONG) -> Iterator[tuple[int, list[bytes]]]:
     """(first, texts): runs of texts of about `size` bytes together; a longer text is alone."""
     own, at, total = [], 0, 0
     for i, text in enumerate(texts):

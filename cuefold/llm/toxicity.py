@@ -54,8 +54,15 @@ class Machine:
         return out
 
 
+def _parts(text: bytes) -> Iterator[bytes]:
+    return (part for part, _ in terms.windows(text, 0, terms.LONG // 2))  # no part is long by itself
+
+
 def distinct_terms(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of each text's distinct hashed terms: words, and the stems that inflected forms share."""
+    """(text, term) of each text's distinct hashed terms: words, and the stems that inflected forms share. A long text, which is alone, is read in parts."""
+    if texts and len(texts[0]) > terms.LONG:
+        found = np.unique(np.concatenate([distinct_terms([part], s)[1] for part in _parts(texts[0])]))
+        return np.zeros(len(found), np.int64), found
     owner, h = terms.stems(texts, s.stems)
     both = np.unique((owner.astype(np.uint64) << np.uint64(s.bits)) | (h >> np.uint64(64 - s.bits)))
     return (both >> np.uint64(s.bits)).astype(np.int64), (both & np.uint64((1 << s.bits) - 1)).astype(np.int64)
@@ -200,8 +207,12 @@ def _scorer(m: Machine | None, s: Settings):
             return np.full(len(texts), 0.5)
         out = [np.zeros(0)]
         for _, part in terms.slices(texts, lower=True):
-            owner, h = terms.stems(part, s.stems)
-            slot = place[(h >> np.uint64(64 - s.bits)).astype(np.int64)]
+            if len(part[0]) > terms.LONG:
+                owner, term = distinct_terms(part, s)
+                slot = place[term]
+            else:
+                owner, h = terms.stems(part, s.stems)
+                slot = place[(h >> np.uint64(64 - s.bits)).astype(np.int64)]
             known = max(1, len(m.terms))
             own = np.unique(owner[slot >= 0].astype(np.int64) * known + slot[slot >= 0])
             out.append(1 / (1 + np.exp(-np.clip(m.dots(own // known, own % known, len(part)), -35, 35))))

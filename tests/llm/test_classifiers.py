@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -128,3 +130,30 @@ def test_terms():
     assert len(grams) == 7 + 2 + 3
     big = "wörd " * 300_000
     assert sum(len(part) for _, part in terms.slices([big, None, "x", big])) == 4
+
+
+def test_long_texts_in_parts():
+    """Parts of any size give the n-grams and terms of the whole text, repeats, signs and other scripts included."""
+    rng = random.Random(6)
+    words = ["one", "Two", "x", "--", "7", "été", "日本", "one one", "a.b", "!!", "\n", "  ", "idiot"]
+    s = quality.Settings()
+    for size in (20, 64, 500):
+        text = " ".join(rng.choices(words, k=400)).encode()
+        want = np.bincount(quality.features([text], s)[1], minlength=1 << s.bits)
+        got = sum(np.bincount(x, minlength=1 << s.bits) for x in quality.long_features(text, s, size))
+        assert (got == want).all()
+
+
+def test_texts_of_many_megabytes(monkeypatch):
+    """One unbroken run, and plain words, in memory that does not go by the text's length; scores as the whole text has them where it has white space."""
+    t = toxicity.Settings()
+    text = b"some plain words and an idiot too " * 40_000
+    whole = np.unique((terms.stems([text], t.stems)[1] >> np.uint64(64 - t.bits)).astype(np.int64))
+    assert len(text) > terms.LONG and toxicity.distinct_terms([text], t)[1].tolist() == whole.tolist()
+    tracemalloc.start()
+    for long in (b"x" * 30_000_000, text * 20):
+        assert sum(len(x) for x in quality.long_features(long, quality.Settings())) > 20
+        assert len(toxicity.distinct_terms([long], t)[1]) > 0
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400_000_000
