@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuefold.streaming.job_states import read as read_states  # noqa: F401
+from cuefold.streaming.job_states import upsert as upsert_states  # noqa: F401
+
 
 def discovery(hits: DataFrame, delay: str = "72 hours") -> DataFrame:
     """A stream of hits (video_id, query_group, mode, ts, ...) with each request's hit on a video once; state is dropped with the watermark. `requests.resumable` has the rules of whole requests."""
