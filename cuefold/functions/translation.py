@@ -12,6 +12,8 @@ SPEED, WARN, REWRITE, LINE, LINES = 4.5, 1.15, 1.25, 20, 2
 SPOKEN = r"[\x{3400}-\x{9fff}A-Za-z0-9]"
 NUMBER = r"\d+(?:[.,]\d+)?"
 NEGATION_SOURCE = r"(?i)\b(?:no|not|never|without|n't)\b"
+# The same where only ASCII letters, digits and the underscore make words, as in SQL engines: `noé` holds a `no` there.
+NEGATION_ASCII = r"(?i)(?<![A-Za-z0-9_])(?:no|not|never|without|n't)(?![A-Za-z0-9_])"
 NEGATION_TARGET = "(不|没|无|未|别|从不)"
 STILTED = "(进行一个|对于.*来说|值得注意的是)"
 REPEATED = r"([，。！？])\1+"
@@ -51,18 +53,18 @@ def number_mismatch(source: Column, translation: Column) -> Column:
     return F.size(F.array_except(found(source), found(translation))) > 0
 
 
-def negation_mismatch(source: Column, translation: Column) -> Column:
-    return source.rlike(NEGATION_SOURCE) & ~translation.rlike(NEGATION_TARGET)
+def negation_mismatch(source: Column, translation: Column, negation: str = NEGATION_SOURCE) -> Column:
+    return source.rlike(negation) & ~translation.rlike(NEGATION_TARGET)
 
 
 def english_leakage(translation: Column) -> Column:
     return F.regexp_count(translation, F.lit("[A-Za-z]")) > F.greatest(F.lit(8.0), F.length(translation) * 0.35)
 
 
-def translation_flags(source: Column, translation: Column, seconds: Column, terms: dict[str, str] | None = None) -> Column:
-    """All flags of a cue in the order of the checks, each once."""
+def translation_flags(source: Column, translation: Column, seconds: Column, terms: dict[str, str] | None = None, negation: str = NEGATION_SOURCE) -> Column:
+    """All flags of a cue in the order of the checks, each once; `negation` finds the negations of a source."""
     content = _flags(
-        (number_mismatch(source, translation), "NUMBER_MISMATCH"), (negation_mismatch(source, translation), "NEGATION_MISMATCH"), (english_leakage(translation), "ENGLISH_LEAKAGE"),
+        (number_mismatch(source, translation), "NUMBER_MISMATCH"), (negation_mismatch(source, translation, negation), "NEGATION_MISMATCH"), (english_leakage(translation), "ENGLISH_LEAKAGE"),
         (translation.rlike(STILTED), "TRANSLATIONESE"), (translation.rlike(REPEATED), "UNNATURAL_PUNCTUATION"),
     )
     return F.array_distinct(F.concat(length_flags(translation, seconds), glossary_flags(source, translation, terms or {}), content))
