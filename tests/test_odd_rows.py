@@ -1,13 +1,17 @@
 """Queries on small tables with odd rows, against their SQL in DuckDB."""
 
+from datetime import datetime
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cuefold.functions import times
 from cuefold.functions import translation as R
 
 from .test_queries import plain
 
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
@@ -41,3 +45,10 @@ def test_negation_before_a_letter_beyond_ascii(spark, tmp_path):
 def test_negations_counted_as_in_sql(spark, tmp_path):
     got = agrees(spark, tmp_path, "flag_histogram", conversations=turns(*["adoja noítaga ment"] * 12))
     assert any("NEGATION_MISMATCH" in r for r in got)
+
+
+def test_hours_of_three_digits(spark, tmp_path):
+    keys = [0, 1, 2_879_999, 2_880_000, 2_880_001, 8_999_999]  # the eighths of the later ones pass 100 hours
+    agrees(spark, tmp_path, "time_helpers", orders=([(k, k % 77, "O", 1234.5 + k % 9, datetime(2024, 1, 1), "1") for k in keys], ORDERS))
+    back = lambda t: spark.range(1).select(times.parse_timestamp(F.lit(t))).first()[0]
+    assert (back("100:00:00,125"), back("1:02:03.004"), back("02:03.004"), back(":02:03.004")) == (360000.125, 3723.004, 123.004, None)
