@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 from datetime import datetime
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cuefold.functions import times
 from cuefold.functions import translation as R
-from cuefold.operators import clustering, folds
+from cuefold.operators import clustering, folds, near_titles
 
 from .test_queries import plain
 
@@ -111,3 +112,12 @@ def test_pairs_of_token_sets_come_out_once(spark):
     found = clustering._jaccard_pairs(spark.createDataFrame([(k,) for k in keys], "key string"), 0.65, []).select("a", "b").collect()
     share = lambda a, b: len({*a.split()} & {*b.split()}) / len({*a.split()} | {*b.split()})
     assert sorted(map(tuple, found)) == [(a, b) for a in keys for b in keys if a < b and share(a, b) >= 0.65]
+
+
+def test_bound_of_common_letters(spark):
+    for extra in ([], ["x" * 300, "x" * 290 + "y"]):  # sums over 255 too
+        own = near_titles.Titles(["abc def", "abd def", "zzz", "a" * 120, "a" * 100 + "b", *extra])
+        i, j = near_titles.by_letters(own, own, 0.78)
+        common = lambda a, b: sum((Counter(a) & Counter(b)).values())
+        want = {(p, q) for p, a in enumerate(own.keys) for q, b in enumerate(own.keys) if common(a, b) >= (len(a) + len(b)) * 0.39 - 1e-9}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
