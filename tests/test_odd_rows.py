@@ -121,3 +121,14 @@ def test_bound_of_common_letters(spark):
         common = lambda a, b: sum((Counter(a) & Counter(b)).values())
         want = {(p, q) for p, a in enumerate(own.keys) for q, b in enumerate(own.keys) if common(a, b) >= (len(a) + len(b)) * 0.39 - 1e-9}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_scores_written_like_ties(spark, tmp_path):
+    """7 views, 21 clicks and 17 sign-ups give an engagement of 64.9305, which is less than that as a double."""
+    kinds = ["view"] * 7 + ["click"] * 21 + ["signup"] * 17
+    events = [(i, datetime(2024, 1, 1, 0, i), i % 5, kind, 1.0, "{}") for i, kind in enumerate(kinds)]
+    got = agrees(
+        spark, tmp_path, "candidate_scores", documents=([(0, "the and of the in that is on to it", "en", "src1", 200)], "doc_id long, text string, lang string, source string, n_chars long"),
+        events=(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+    )
+    assert "64.93," in got[0]
