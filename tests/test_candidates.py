@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import Counter
 from dataclasses import replace
 from difflib import SequenceMatcher
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuefold.functions import text as T
 from cuefold.operators import clustering, near_titles, selection, tasks
 from cuefold.plans.candidate_queries import SETTINGS
 from cuefold.plans.settings import CandidateSettings, problems
@@ -64,6 +66,21 @@ def test_ranks_within_groups(spark):
         assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and own
 
 
+def test_filters_do_not_copy_the_text_columns(spark):
+    """A filter on scores reads them; before, 340 of the patterns on whole texts stood in the filter of wildcard_pool."""
+    from cuefold.plans import candidate_queries
+
+    df = candidate_queries.wildcard_pool(spark, "/root/testdata/sf0.001")
+    filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x.split("(")[0]]
+    assert filters and not any("regexp_replace(" in x for x in filters)
+
+
+def test_whole_phrases(spark):
+    texts = ["of the", "xof the", "of thex", "xof the of the", "of thé of the,", "-of the-", "of_the", "ofof the", "of the_", "日of the", "", "1of the 2 of the3"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.has_phrase(F.col("t"), " Of  THE ")).collect()]
+    assert got == [bool(re.search(r"(?<!\w)of the(?!\w)", t)) for t in texts]
+
+
 def test_title_pairs_against_all_pairs(spark):
     parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
     keys = {(r["p_type"], " ".join(tokens(f"{r['p_name']} {r['p_brand']}"))) for r in parts}
