@@ -239,6 +239,31 @@ def compared(df, s, best):
     return refused
 
 
+def test_selection_clusters_few_rows(spark):
+    """Chosen rows and refusals of the whole groups' clusters, with a few of the best rows clustered; some groups need all."""
+    rng = random.Random(11)
+    words = ["minecraft", "garden", "update", "secret", "tomato", "harvest", "speedrun", "challenge", "hundred", "days"]
+    rows = [(*r, " ".join(rng.sample(words, rng.randrange(2, 6)))) for k, n in enumerate([1, 6, 40, 150, 150, 300, 300]) for r in hostile(rng, n, f"d{k}")]
+    rows = [(*r[:2], rng.choice([None, -3.0]) if rng.random() < 0.01 else round(rng.random() * 300, rng.randrange(1, 4)), *r[3:5], *r[6:]) for r in rows]
+    df = spark.createDataFrame(rows, f"{ROW}, title string".replace(" semantic_duplicate_group string,", "")).repartition(3)
+    s, given = CandidateSettings(topic_quotas={"alpha": 7, "beta": 4, "wildcard_popular": 2}, topic_max_counts={"alpha": 9, "beta": 5, "wildcard_popular": 4}), []
+
+    def cluster(part):
+        given.append(part.groupBy("day").count().collect())
+        return clustering.leader_clusters(part, [], 0.65, None, ["day"])
+
+    plain = lambda tables: [sorted(map(repr, (r.asDict() for r in t.collect()))) for t in tables]
+    want = plain(selection.select(cluster(df), s, ["day"], 6))
+    for depths in ((4,), (20, 120), (999,)):
+        given.clear()
+        assert plain(selection.select_clustered(df, s, ["day"], cluster, 6, depths)) == want
+        assert all(r["count"] <= depth for depth, step in zip(depths, given, strict=False) for r in step)
+        assert len(given) <= len(depths) + 1
+    given.clear()
+    selection.select_clustered(df, s, ["day"], cluster, 6, (120, 200))
+    assert {r["day"] for r in given[0]} == {f"d{k}" for k in range(7)} and all(len(x) < 5 for x in given[1:])
+
+
 def test_best_rows_alone_are_shuffled(spark):
     """A region of any size sends some rows a pass and task."""
     sizes = []
