@@ -191,10 +191,26 @@ def caption_scores(cues: DataFrame, inspection: DataFrame, speech: DataFrame, au
     return scores.withColumn("final_score", final).join(more, TRACK)
 
 
-def choose_source(scores: DataFrame, mode: str = "auto", minimum: float = 70, margin: float = 6, coverage_margin: float = 3, gap_margin: float = 3, preferred: str = "whisper", below_minimum: bool = True) -> DataFrame:
-    """(video_id, selected_source, selection_reason, warnings, selection_failed, score_difference) from caption_scores rows of sources `youtube` and `whisper`."""
+def choose_source(scores: DataFrame, mode: str = "auto", **rules) -> DataFrame:
+    """(video_id, selected_source, selection_reason, warnings, selection_failed, score_difference) from caption_scores rows of sources `youtube` and `whisper`; `rules` as in `choose_sources`."""
+    return choose_sources(scores, [mode], **rules).drop("mode")
+
+
+def choose_sources(scores: DataFrame, modes: list[str], parts: int | None = None, **rules) -> DataFrame:
+    """The rows of `choose_source` for each of the modes, with `mode`: both sources of a video meet once for all of them.
+
+    Rows are dealt out by video before they are put together: a task sorts its own videos' rows once, and none in the reading task, where
+    two rows a video leave nothing to sum up. `parts` is the number of tasks, for tables that hold more than the session's number can sort.
+    """
     cols = ["final_score", "hard_fail", "source_type", "coverage", "timeline", "readability", "max_uncovered", "flags"]
-    two = scores.groupBy("video_id").pivot("source", ["youtube", "whisper"]).agg(*[F.first(c).alias(c) for c in cols])
+    dealt = scores.select("video_id", "source", *cols).repartition(*([parts] if parts else []), "video_id")
+    two = dealt.groupBy("video_id").pivot("source", ["youtube", "whisper"]).agg(*[F.first(c).alias(c) for c in cols])
+    made = [F.struct(F.lit(m).alias("mode"), picked.alias("p"), F.round(diff, 3).alias("score_difference")) for m in modes for picked, diff in [_choice(m, **rules)]]
+    return two.select("video_id", F.inline(F.array(*made))).select("mode", "video_id", "p.*", "score_difference")
+
+
+def _choice(mode: str, minimum: float = 70, margin: float = 6, coverage_margin: float = 3, gap_margin: float = 3, preferred: str = "whisper", below_minimum: bool = True) -> tuple[Column, Column]:
+    """The choice between the two sources of a row, and the difference of their scores."""
     y, w = (lambda c: F.col(f"youtube_{c}")), (lambda c: F.col(f"whisper_{c}"))
     safe = lambda s: F.coalesce(~s("hard_fail"), F.lit(False))
     usable = lambda s: safe(s) & (s("final_score") >= minimum)
@@ -218,7 +234,7 @@ def choose_source(scores: DataFrame, mode: str = "auto", minimum: float = 70, ma
                 .when(diff > 1e-9, out(higher("final_score"), "tiebreak_final_score", "AUTO_TIEBREAK_FINAL_SCORE")).otherwise(out(preferred, "tiebreak_exact", "AUTO_TIEBREAK_EXACT_TIE")))
             .when(F.lit(below_minimum) & (safe(y) | safe(w)), out(better, "below_minimum", "AUTO_SELECTED_BELOW_MINIMUM")).otherwise(out("", "no_safe_source", "NO_HARD_SAFE_SUBTITLE_SOURCE"))
         )
-    return two.select("video_id", picked.alias("p"), F.round(diff, 3).alias("score_difference")).select("video_id", "p.*", "score_difference")
+    return picked, diff
 
 
 def usable(scores: DataFrame, minimum: float = 70) -> DataFrame:

@@ -280,3 +280,14 @@ def test_agreement(spark):
     far = b.withColumns({"start": F.col("start") + 100, "end": F.col("end") + 100})
     assert quality.agreement(a, far).first()["agreement"] == 100.0
     assert quality.agreement(a, b.limit(0)).first()["agreement"] == 0.0
+
+
+def test_sources_meet_once(spark):
+    """Three modes of one table: one exchange, nothing put together before it, as many tasks as asked for; before, each reading task sorted its rows for a sum of nothing."""
+    rows = [(i, s, float(60 + (i * k) % 40), False, "auto", 90.0, 80.0, 70.0, 1.0, ["LOW"]) for i in range(40) for k, s in ((7, "youtube"), (11, "whisper")) if (i + k) % 9]
+    df = spark.createDataFrame(rows, "video_id int, source string, final_score double, hard_fail boolean, source_type string, coverage double, timeline double, readability double, max_uncovered double, flags array<string>")
+    got = quality.choose_sources(df, ["auto", "manual", "whisper"], 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange") and got.rdd.getNumPartitions() == 7
+    for mode in ("auto", "manual", "whisper"):
+        assert sorted(map(repr, got.where(F.col("mode") == mode).drop("mode").collect())) == sorted(map(repr, quality.choose_source(df, mode).collect()))
