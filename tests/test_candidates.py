@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuefold.functions import text as T
-from cuefold.operators import clustering, near_titles, selection, tasks
+from cuefold.operators import candidates, clustering, near_titles, selection, tasks
 from cuefold.plans.candidate_queries import SETTINGS
 from cuefold.plans.settings import CandidateSettings, problems
 from cuefold.sources import manifests, sinks, videos
@@ -75,6 +75,23 @@ def test_filters_do_not_copy_the_text_columns(spark):
     assert filters and not any("regexp_replace(" in x for x in filters)
 
 
+def test_declared_languages_are_not_detected(spark):
+    """The detector gets the text of a video without a declared language alone; before, it read those of all."""
+    from cuefold.plans import candidate_queries
+
+    def detect(text):
+        assert text in ("", "t1 d1"), text
+        return "en" if text else "never"
+
+    row = lambda i, audio, declared: (f"v{i}", (f"t{i}", f"d{i}", "c", "1", "2024-01-01T00:00:00Z", "none", audio, declared, [], {}), ("PT5M", "true"), ("1", "1", "1"), ("public", "youtube", True))
+    rows = spark.createDataFrame([row(0, "en", None), row(1, None, " "), row(2, None, "de"), row(3, "fr", "en")], videos.VIDEO)
+    hits = spark.createDataFrame([], "video_id string, kind string, mode string, query_group string, rank int, query_text string, feed string")
+    topics, cats = spark.createDataFrame([], "video_id string, topics array<string>"), spark.createDataFrame([("1", "one")], "category_id string, title string")
+    built = candidates.build(rows, hits, topics, cats, F.lit("2024-01-02 00:00:00").cast("timestamp"), candidate_queries.SETTINGS, detect)
+    got = {r[0]: r[1:] for r in built.select("video_id", "detected_language", "language_source").collect()}
+    assert got == {"v0": ("en", "defaultAudioLanguage"), "v1": ("en", "text_detection+caption"), "v2": ("de", "defaultLanguage"), "v3": ("fr", "defaultAudioLanguage")}
+
+
 def test_whole_phrases(spark):
     texts = ["of the", "xof the", "of thex", "xof the of the", "of thé of the,", "-of the-", "of_the", "ofof the", "of the_", "日of the", "", "1of the 2 of the3"]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.has_phrase(F.col("t"), " Of  THE ")).collect()]
