@@ -49,6 +49,54 @@ def test_leaders_are_the_greedy_ones(spark, ratio):
         assert len(apart) == 2 * len(rows)
 
 
+def test_titles_of_a_kind_meet_their_leader_alone(spark, monkeypatch):
+    """Greedy groups where most titles are of a few kinds, found by many small tiles and a few nodes at a time; before, each two titles of a kind were an edge."""
+    rng = random.Random(12)
+    words = ["minecraft", "garden", "update", "secret", "tomato", "harvest", "speedrun", "challenge", "hundred", "days"]
+    kinds = [" ".join(rng.sample(words, 5)) for _ in range(3)]
+    title = lambda: f"{rng.choice(kinds)} {rng.choice('abcdefgh')}{rng.randrange(40)}" if rng.random() < 0.8 else " ".join(rng.sample(words, rng.randrange(1, 5)))
+    rows = [(f"v{i:03d}", "b" if i < 40 else None, title(), float(rng.randrange(30))) for i in range(260)]
+    want = {}
+    for day in ("b", None):
+        leaders = []
+        for v, _, t, _ in sorted((r for r in rows if r[1] == day), key=lambda r: (-r[3], r[0])):
+            found = next((n for n, other in leaders if alike(t, other, 0.78)), None)
+            if found is None:
+                found = f"event_{len(leaders) + 1:04d}"
+                leaders.append((found, t))
+            want[v] = found
+    edges, real = [], clustering.staged
+
+    def spied(df, name):
+        out = real(df, name)
+        if name == "edges":
+            edges.append(out.count())
+        return out
+
+    monkeypatch.setattr(clustering, "staged", spied)
+    df = spark.createDataFrame(rows, "video_id string, day string, title string, final_score double")
+    got = {r["video_id"]: r["semantic_duplicate_group"] for r in clustering.leader_clusters(df, ["the", "new"], 0.65, 0.78, ["day"], tile=900, first=10).collect()}
+    assert got == want
+    assert sum(edges) < 1_000  # all alike pairs are thousands
+
+
+def test_few_comparisons_find_the_first_leader(monkeypatch):
+    """The first leader of many, compared with few; a title is the first side."""
+    rng = random.Random(3)
+    calls, real = [], near_titles.reaches
+    monkeypatch.setattr(near_titles, "reaches", lambda *x: calls.append(x[:2]) or real(*x))
+    leaders = [(k, f"harvest garden update number {rng.randrange(10**6)}") for k in rng.sample(range(500), 80)] + [(900, "z" * 70 + "q" * 60)]
+    rows = [(1_000 + k, f"harvest garden update numbers {rng.randrange(10**6)}") for k in range(60)] + [(2_000, "another thing"), (2_001, "z" * 71 + "q" * 60)]
+    first = lambda t: min((k for k, x in leaders if SequenceMatcher(None, t, x).ratio() >= 0.78), default=None)
+    want = {k: first(t) for k, t in rows}
+    assert near_titles.first_leaders(leaders, rows, 0.78) == {k: x for k, x in want.items() if x is not None}
+    assert len(calls) < 10 * len(rows) and all(b in dict(leaders).values() for _, b in calls)
+    keys = [(k, t) for k, t in leaders + rows]
+    pairs = {(a, b) for a, x in keys for b, y in keys if a < b and SequenceMatcher(None, y, x).ratio() >= 0.78}
+    assert set(near_titles.followed(keys, None, 0.78)) == pairs
+    assert set(near_titles.followed(keys[::2], keys[1::2], 0.78)) == {(a, b) for a, b in pairs if (a in dict(keys[::2])) != (b in dict(keys[::2]))}
+
+
 def test_penalty_by_place(spark):
     rows = [(f"v{i}", "one title told again", float(50 - i % 7)) for i in range(300)] + [("w", "quite another thing", 3.0), ("x", None, 2.0), ("y", "", 2.0)]
     got = clustering.leader_clusters(spark.createDataFrame(rows, "video_id string, title string, final_score double"), []).collect()
